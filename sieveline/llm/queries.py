@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, tokenpack, urlfilter
+from . import ann, ctph, langid, minhash, mixing, packing, pii, tokenpack, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +17,39 @@ def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"_copy": "copy_no", "_place": "place"})
 
 
+def op2_itq_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.near_pairs(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.packed_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op4_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.flagged(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op8_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.grouped(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urlfilter.judged(_table(spark, sf_dir, "pages"))
     return out.withColumns({"strict": F.array_join("strict", ","), "soft": F.array_join("soft", ",")})
@@ -91,9 +112,14 @@ SELECT page_id, url, array_to_string(strict, ',') AS strict, array_to_string(sof
 def queries() -> dict:
     return {
         "op1_poisson_mix": op1_poisson_mix,
+        "op2_itq_near_pairs": op2_itq_near_pairs,
         "op3_packed_tokens": op3_packed_tokens,
+        "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
         "op5_minhash_tensor": op5_minhash_tensor,
+        "op6_fm_toxicity": op6_fm_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_ctph": op8_ctph,
+        "op9_pii": op9_pii,
         "op10_url_vocabulary": op10_url_vocabulary,
         "pipeline": pipeline,
     }
