@@ -21,7 +21,7 @@ class MinHash:
     `words` successive words is at least `threshold`."""
 
     words: int = 3
-    groups: int = 8
+    groups: int = 10
     rows: int = 2
     threshold: float = 0.5
     seed: int = 42
