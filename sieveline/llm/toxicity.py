@@ -24,11 +24,11 @@ class Machine:
 
     bits: int = 22
     factors: int = 8
-    train_rows: int = 20_000
+    train_rows: int = 10_000
     min_docs: int = 3
-    min_z: float = 3.0
-    rounds: int = 300
-    rate: float = 0.05
+    min_z: float = 4.0
+    rounds: int = 100
+    rate: float = 0.1
     decay: float = 2e-3
     seed: int = 42
 
