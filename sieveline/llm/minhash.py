@@ -23,7 +23,7 @@ class MinHash:
     words: int = 3
     groups: int = 10
     rows: int = 2
-    threshold: float = 0.5
+    threshold: float = 0.45
     seed: int = 42
 
     def __post_init__(self) -> None:
