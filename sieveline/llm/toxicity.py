@@ -26,7 +26,7 @@ class Machine:
     factors: int = 8
     train_rows: int = 10_000
     min_docs: int = 3
-    min_z: float = 4.0
+    min_z: float = 2.5
     rounds: int = 100
     rate: float = 0.1
     decay: float = 2e-3
