@@ -67,7 +67,8 @@ NUMBERS = re.compile(r"[0-9][0-9 ().\- ]{5,}[0-9]")
 CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])")
 IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])")
-PHONE = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9]|[.-][0-9])|\+[0-9]{8,15}(?![0-9])")
+_GROUPS = r"(?:(?:[ -][0-9]{2,4}){1,4}|(?:\.[0-9]{2,4}){1,4})(?![0-9]|[.-][0-9])"
+PHONE = re.compile(rf"\+[0-9]{{1,3}}(?:[ .-]?\([0-9]{{1,4}}\)[ .-]?|[ .-])[0-9]{{1,4}}{_GROUPS}|\+[0-9]{{8,15}}(?![0-9])|\([0-9]{{2,4}}\)[ .-]?[0-9]{{2,4}}{_GROUPS}|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}(?![0-9]|[.-][0-9])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 SECRET = re.compile(r"[=:][ \t]*[\"']?([A-Za-z0-9_/+.~-]{16,})")
 WORD = re.compile(r"(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|credentials?)[\"']?\s*\Z", re.I)
@@ -106,10 +107,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
             before -= 1
         for m in PHONE.finditer(text, before, end):
             n = sum(c.isdigit() for c in m[0])
-            marked = m[0][0] in "+(" or "(" in m[0]
-            grouped = re.fullmatch(r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}", m[0])
             outside = not (m.start() and text[m.start() - 1].isalnum()) and not text[m.end() : m.end() + 1].isalnum()
-            if 7 <= n <= 15 and (marked or grouped) and outside:
+            if 7 <= n <= 15 and outside:
                 yield "PHONE", *m.span()
     for m in IBAN.finditer(text):
         compact, n = m[0].replace(" ", ""), IBAN_LENGTH.get(m[0][:2], 0)
