@@ -53,23 +53,28 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: f
     return weighed.crossJoin(F.broadcast(total)).select("source", "chars", F.coalesce(F.lit(float(budget)) * share * F.try_divide(F.col("all_chars").cast("double"), F.col("chars").cast("double")), F.lit(0.0)).alias("rate"))
 
 
+def _copies(docs: DataFrame, weights: Mapping[str, float] | None, budget: float, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(_row, _copy, _place): each row of docs as a struct, so that no column of its can clash with others."""
+    table = cut(rates(docs, weights, budget, source_col, text_col).where("rate > 0").select(F.col("source").alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf")))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_source"))
+    width = table.agg(F.sum(F.size("_cdf") * 8 + 64)).first()[0] or 0
+    joined = held.join(small(table, 1, width), "_source").withColumn("_u", uniform(seed, F.col("_id")))
+    counted = joined.select("_row", "_id", F.expr("size(filter(_cdf, c -> c <= _u))").alias("_n")).where("_n > 0")
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return copies.select("_row", "_copy", F.floor(uniform(seed + 1, F.col("_id"), F.col("_copy")) * F.lit(float(1 << 31))).cast("long").alias("_place"))
+
+
 def replicated(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: float = 1.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with each row as often as its Poisson count says, and two columns more: _copy and _place.
 
     The count inverts the distribution of Poisson(rate of the source) at a uniform number hashed from seed and id,
-    so it doesn't depend on partitions, order or other documents. _place is a 31-bit hash of seed, id and copy;
+    so it doesn't depend on partitions, order or other documents' ids. _place is a 31-bit hash of seed, id and copy;
     rows sorted by it are globally shuffled. A null source is the source ''. Rows that repeat an id get the same
-    count. Null texts have no characters but come at their source's rate. No documents, no rows.
+    count and places; all null ids hash as one. Null texts have no characters but come at their source's rate. If
+    docs has a column of a new one's name, the new one takes its place. No documents, no rows.
     """
-    table = cut(rates(docs, weights, budget, source_col, text_col).where("rate > 0").select(F.col("source").alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf")))
-    key = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
-    width = table.agg(F.sum(F.size("_cdf") * 8 + 64), F.count("*")).first()
-    joined = docs.join(small(table, 1, width[0] or 0), key == F.col("_source"))
-    u = uniform(seed, F.col(f"`{id_col}`"))
-    count = F.expr("size(filter(_cdf, c -> c <= _u))")
-    out = joined.withColumn("_u", u).withColumn("_n", count).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    place = F.floor(uniform(seed + 1, F.col(f"`{id_col}`"), F.col("_copy")) * F.lit(float(1 << 31))).cast("long")
-    return out.withColumn("_place", place).drop("_source", "_cdf", "_u", "_n")
+    names = [c for c in docs.columns if c.lower() not in ("_copy", "_place")]
+    return _copies(docs, weights, budget, seed, id_col, source_col, text_col).select(*[F.col("_row").getField(c).alias(c) for c in names], "_copy", "_place")
 
 
 def shuffled(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -78,6 +83,7 @@ def shuffled(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartitionById(n, F.floor(F.col("_place") * n / F.lit(float(1 << 31))).cast("int")).sortWithinPartitions("_place", "_copy")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: float = 1.0, seed: int = 42) -> DataFrame:
-    """The mixture in its shuffled order, with the columns of docs only."""
-    return shuffled(replicated(docs, weights, budget, seed)).select(docs.columns)
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: float = 1.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mixture of replicated() in its shuffled order, with exactly the columns of docs."""
+    out = shuffled(_copies(docs, weights, budget, seed, id_col, source_col, text_col))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
