@@ -101,17 +101,16 @@ def _bundles(p: Profiles):
 
 def train(docs: DataFrame, p: Profiles = Profiles(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """A unit prototype for each language that lang_col names. Null or blank labels, null ids and null texts aren't
-    learned from; no labelled rows, no prototypes."""
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.trim(F.col(f"`{lang_col}`").cast("string")).alias("lang")).where("id is not null and lang <> ''")
+    learned from; rows that repeat an id and label come or stay out together; no labelled rows, no prototypes."""
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.trim(F.col(f"`{lang_col}`").cast("string")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and lang <> '' and text is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(p.seed), "id"), "id")
-    ids = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.train_rows).select("id", "lang").distinct().toPandas()
+    ids = named.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.train_rows).select("id", "lang").distinct().toPandas()
     if ids.empty:
         return {}
     chosen = docs.sparkSession.createDataFrame(ids, "id long, lang string")
     if len(ids) * 64 <= BROADCAST_BYTES:
         chosen = F.broadcast(chosen)
-    rows = with_id(docs, id_col, text_col).where("text is not null").join(chosen, "id")
-    parts = rows.mapInArrow(_bundles(p), "lang string, bundle array<double>").toPandas()
+    parts = named.join(chosen, ["id", "lang"]).mapInArrow(_bundles(p), "lang string, bundle array<double>").toPandas()
     return {k: unit(np.sum(np.stack(list(g)), axis=0)).astype(np.float32) for k, g in sorted(parts.groupby("lang")["bundle"])}
 
 
