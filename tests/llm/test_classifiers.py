@@ -1,0 +1,222 @@
+"""Language ID, toxicity, personal data and URL filters."""
+
+import os
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sieveline.llm import langid, pii, queries, toxicity, urlfilter
+
+DATA = "/root/testdata/sf0.01"
+P = langid.Profiles(dim=256, train_rows=200)
+
+
+def by_definition(text, p):
+    """Bind the permuted letter vectors of each trigram, bundle all; signs that are no letters count as one."""
+    signs = np.random.default_rng(p.seed).integers(0, 2, (langid.CLASSES, p.dim), dtype=np.int8) * 2 - 1
+    kinds = [0]
+    for c in text.lower() + "\n":
+        k = ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (langid.CLASSES - 27) if ord(c) >= 0xAA and c.isalpha() else 0
+        if k or kinds[-1]:
+            kinds.append(k)
+    out = np.zeros(p.dim)
+    for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+        if b:
+            out += np.roll(signs[a], 2) * np.roll(signs[b], 1) * signs[c]
+    return out
+
+
+def test_bundles_follow_their_definition():
+    texts = ["Hello, World!!  foo", "", "a", "...", "été  où\nça", "x" * 500, "Straße 12 ÑANDÚ", "İstanbul"]
+    assert np.allclose(langid.vectors(texts, P), [by_definition(t, P) for t in texts])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    taught = langid.train(docs.where("doc_id < 500"), P)
+    assert set(taught) == {"en", "de", "fr", "es"}
+    held = docs.where("doc_id >= 500 and n_chars >= 40")
+    out = langid.identified(held, P, taught).withColumnRenamed("lang", "found").join(held.select("doc_id", "lang"), "doc_id")
+    right, accepted, n = out.agg(F.sum((F.col("found") == F.col("lang")).cast("int")), F.sum(F.col("accepted").cast("int")), F.count("*")).first()
+    assert right >= 0.97 * n and accepted >= 0.98 * n
+    kept = langid.recognised(held, P, taught)
+    assert kept.columns == held.columns and kept.count() == accepted
+
+
+def test_language_edge_rows(spark):
+    words = {"aa": "tara nola miru sedo ", "bb": "xkwz qyvv zzjk wqxv "}
+    rows = [(i, words[k] * (1 + i), k) for i in range(8) for k in words] + [(100, None, "aa"), (101, "", "bb"), (102, "123 !!", None), (None, "tara nola", " "), (3, "xkwz qyvv " * 60000, None), (3, "xkwz qyvv", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"id": F.lit("x"), "_row": F.lit(1), "_lang": F.lit(2), "accepted": F.lit("y")})
+    p = langid.Profiles(dim=512, train_rows=20)
+    out = [(r["doc_id"], r["lang"], r["accepted"]) for r in langid.identified(docs, p).collect()]
+    assert len(out) == len(rows)
+    assert {(100, "und", False), (101, "und", False), (102, "und", False), (None, "aa", True)} <= set(out)
+    assert out.count((3, "bb", True)) == 3
+    kept = langid.recognised(docs, p)
+    assert kept.columns == docs.columns and kept.count() == sum(a for _, _, a in out) and kept.where("doc_id in (100, 101, 102)").count() == 0
+    assert kept.where("doc_id is null").first()["lang"] == "aa"
+    none = docs.limit(0)
+    assert langid.train(none, p) == {} and langid.identified(none, p).count() == 0 and langid.recognised(none, p).count() == 0
+    assert {r["lang"] for r in langid.identified(docs, p, {}).collect()} == {"und"}
+    tied = langid.train(docs, p)
+    assert not any(r["accepted"] for r in langid.identified(docs, p, {"a": tied["aa"], "b": tied["aa"]}).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_toxicity_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where("doc_id < 5000"))
+    held = toxicity.scored(docs.where("doc_id >= 5000"), model).join(labels.select("doc_id", F.col("toxic").alias("y")), "doc_id")
+    n = {(r["y"], r["toxic"]): r["count"] for r in held.groupBy("y", "toxic").count().collect()}
+    assert n[1, True] >= 0.85 * (n[1, True] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.01 * n[0, False]
+
+
+def test_pairs_of_terms_decide():
+    """Toxic is an insult with a group, neither alone."""
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(3000):
+        insult, group = rng.random(2) < 0.5
+        rows.append(np.array([*rng.choice(np.arange(10, 40), 5, replace=False), *([1] if insult else []), *([2] if group else [])]))
+        y.append(insult and group or rng.random() < 0.02)
+    model = toxicity.fit(rows, np.array(y), toxicity.Machine(min_z=0))
+    at = {int(t): i for i, t in enumerate(model.terms)}
+    both = model.pairs[at[1]] @ model.pairs[at[2]]
+    assert both > 1, "the pair itself has a weight"
+
+    def score(some):
+        each = [model.score(np.array([at[t] for t in [*some, *rng.choice(np.arange(10, 40), 5, replace=False)]]), np.zeros(len(some) + 5, int), 1)[0] for _ in range(50)]
+        return np.mean(each)
+
+    assert score([1, 2]) > 0.8 and max(score([1]), score([2]), score([])) < 0.2
+
+
+def test_factor_sums_equal_the_pairwise_definition():
+    rng = np.random.default_rng(1)
+    m = toxicity.Model(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 3)), 0.5, 22)
+    x = [0, 2, 5]
+    logit = 0.3 + m.linear[x].sum() + sum(m.pairs[i] @ m.pairs[j] for i in x for j in x if i < j)
+    assert abs(m.score(np.array(x), np.zeros(3, int), 1)[0] - 1 / (1 + np.exp(-logit))) < 1e-12
+
+
+def test_toxicity_edge_rows(spark):
+    rng = random.Random(0)
+    plain = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(12))
+    rows = [(i, plain() + (" vile foul" if i % 4 == 0 else ""), i % 4 == 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, None), (1001, ""), (None, "vile foul"), (1002, "alpha " * 100000 + "vile foul"), (0, "alpha")], "doc_id long, text string").withColumns({"id": F.lit("x"), "y": F.lit(5), "score": F.lit(1)})
+    labels = spark.createDataFrame([(i, int(t)) for i, _, t in rows] + [(1, None), (None, 1), (1000, 1), (4, 0)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    model = toxicity.train(docs, labels)
+    found = {r["doc_id"] for r in toxicity.flagged(docs, model).collect()}
+    assert {i for i, _, t in rows if t} | {None, 1002} == found
+    assert toxicity.scored(docs, model).count() == 405
+    for d, l in ((docs.limit(0), labels), (docs, labels.limit(0)), (docs, labels.where("toxic = 0"))):
+        nothing = toxicity.train(d, l)
+        assert toxicity.flagged(docs, nothing).count() == 0 and toxicity.scored(docs.limit(0), nothing).count() == 0
+
+
+CARD, IBAN = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+
+
+def kinds(text):
+    return [(k, text[a:b]) for k, a, b, _ in pii.spans(text)]
+
+
+def test_checksums():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001")
+
+
+def test_spans_are_found_and_confirmed():
+    good = {
+        "mail bob.smith+x@mail.example.com.": ("EMAIL", "bob.smith+x@mail.example.com"),
+        "élan (é.b@ex-ample.org)": ("EMAIL", "é.b@ex-ample.org"),
+        f"pay {CARD}!": ("CARD", CARD),
+        "378282246310005": ("CARD", "378282246310005"),
+        f"to {IBAN}, now": ("IBAN", IBAN),
+        "GB82WEST12345698765432": ("IBAN", "GB82WEST12345698765432"),
+        "call +1 (017) 555-7713 today": ("PHONE", "+1 (017) 555-7713"),
+        "+33 1 23 45 67 89": ("PHONE", "+33 1 23 45 67 89"),
+        "555-867-5309": ("PHONE", "555-867-5309"),
+        "from 10.0.200.7,": ("IP", "10.0.200.7"),
+        "ssn 123-45-6789": ("SSN", "123-45-6789"),
+        'token = "0a1b2c3d4e5f60718293"': ("SECRET", "0a1b2c3d4e5f60718293"),
+        "api_key: sk-live-0123456789abcdef": ("SECRET", "sk-live-0123456789abcdef"),
+    }
+    for text, span in good.items():
+        assert kinds(text) == [span], text
+
+
+def test_what_is_no_personal_data():
+    for text in ("4111 1111 1111 1112", "DE89 3704 0044 0532 0130 01", "1.2.3.400", "version 1.2.3.4", "id 123-45-6789", "order 1234567", "a@b", "@home", "12:30 - 14:45", "1 000 000", "0000000000000000", "token ring network", "2026-11-25", "sha1 token = 123"):
+        assert kinds(text) == [], text
+
+
+def test_context_changes_the_score():
+    score = lambda t: pii.spans(t)[0][3]
+    assert score(f"visa card {CARD}") > score(CARD) > score(f"order {CARD}")
+
+
+def test_masking_and_order():
+    text = f"a@b.org {CARD} +1 (017) 555-7713 10.1.2.3"
+    assert pii.mask(text) == "[EMAIL] [CARD] [PHONE] [IP]" and pii.mask(pii.mask(text)) == pii.mask(text)
+    assert pii.mask("nothing here") == "nothing here"
+
+
+def test_pii_frames(spark):
+    rows = [(1, "x a@b.org", 9), (2, None, 4), (3, "", 0), (None, "a@b.org a@b.org", None), (1, "x a@b.org", 9), (4, "é " * 100000 + CARD, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({"id": F.lit("x"), "kind": F.lit(1), "value": F.lit(2)})
+    got = sorted((r["doc_id"] or 0, r["kind"], r["start"], r["value"]) for r in pii.found(docs).collect())
+    assert got == [(0, "EMAIL", 0, "a@b.org"), (0, "EMAIL", 8, "a@b.org"), (1, "EMAIL", 2, "a@b.org"), (1, "EMAIL", 2, "a@b.org"), (4, "CARD", 200000, CARD)]
+    out = pii.masked(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    by = {(r["doc_id"], r["n_chars"]): r["text"] for r in out.collect()}
+    assert by[2, 4] is None and by[None, None] == "[EMAIL] [EMAIL]" and by[1, 9] == "x [EMAIL]" and by[4, 200006].endswith("[CARD]")
+    assert pii.found(docs.limit(0)).count() == 0 and pii.masked(docs.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_pii_equals_a_loop_over_all_texts(spark):
+    got = sorted((r["doc_id"], r["kind"], r["start"], r["stop"]) for r in queries.op9_pii(spark, DATA).collect())
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert got == sorted((d["doc_id"], k, a, b) for d in docs for k, a, b, _ in pii.spans(d["text"])) and got
+
+
+def naive_hits(url, v):
+    url = url.lower()
+    found = [(i, i + len(t), t) for t in {*v.strict, *v.soft} for i in range(len(url)) if url.startswith(t, i) and not (i and url[i - 1].isalnum()) and not url[i + len(t) : i + len(t) + 1].isalnum()]
+    strict = [f for f in found if f[2] in v.strict]
+    return sorted({t for _, _, t in strict}), sorted({t for s, e, t in found if t in v.soft and not any(a <= s and e <= b for a, b, _ in strict)})
+
+
+def test_url_hits_equal_a_plain_search():
+    v, rng = urlfilter.Vocabulary(), random.Random(0)
+    parts = [*v.strict, *v.soft, "-", "/", ".", "?", "a", "é", "XXX", "Free"]
+    for _ in range(3000):
+        url = "".join(rng.choice(parts) for _ in range(rng.randint(0, 7)))
+        assert urlfilter.hits(url, v) == naive_hits(url, v), url
+    assert urlfilter.hits("anything", urlfilter.Vocabulary((), ())) == ([], [])
+    for bad in ({"soft_needed": 0}, {"strict": ("X",)}, {"soft": ("",)}):
+        with pytest.raises(ValueError):
+            urlfilter.Vocabulary(**bad)
+
+
+def test_url_frames(spark):
+    rows = [(1, "http://a/poker/bonus"), (2, "http://a/poker/poker"), (3, "http://essex.org/xxxl"), (4, "http://a/%70orn"), (5, None), (6, ""), (None, "http://x/XXX"), (2, "http://a/poker/poker"), (7, "http://a/" + "z" * 100000 + "/xxx")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"id": F.lit("x"), "text": F.lit("xxx"), "strict": F.lit(1)})
+    got = sorted((r["page_id"] or 0, r["rejected"]) for r in urlfilter.judged(pages).collect())
+    assert got == [(0, True), (1, True), (2, False), (2, False), (3, False), (4, True), (5, False), (6, False), (7, True)]
+    assert urlfilter.judged(pages.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_op10_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    got = queries.op10_url_vocabulary(spark, DATA)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    columns = sorted(got.columns)
+    want = con.sql(queries.oracle_sql()["op10_url_vocabulary"]).select(", ".join(columns)).fetchall()
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(want) and any(r[columns.index("rejected")] for r in want)
