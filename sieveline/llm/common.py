@@ -17,6 +17,17 @@ BROADCAST_BYTES = 32 << 20
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows that Spark hands to Python at once, where the session has its default; documents are large rows.
+BATCH_ROWS = 1000
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default, so that a worker holds a few MB of text, not tens of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; a local one only where the session names none."""
     sc = spark.sparkContext
@@ -48,6 +59,8 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def with_id(df: DataFrame, id_col: str, text_col: str | None = None) -> DataFrame:
+    """(id[, text]) of df under these names, for Python to work on."""
+    light_batches(df.sparkSession)
     cols = [F.col(f"`{id_col}`").cast("long").alias("id")]
     return df.select(*cols, *([F.col(f"`{text_col}`").cast("string").alias("text")] if text_col else []))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, chunks, with_id
+from .common import BROADCAST_BYTES, chunks, light_batches, with_id
 
 #: Class 0 is all that is no letter, 1 to 26 the ASCII letters; other letters share the rest by their code.
 CLASSES = 64
@@ -157,6 +157,7 @@ def identified(docs: DataFrame, p: Profiles = Profiles(), prototypes: dict[str,
 def recognised(docs: DataFrame, p: Profiles = Profiles(), prototypes: dict[str, np.ndarray] | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose language is accepted, lang_col being the language found; other columns as they were."""
     prototypes = train(docs, p, id_col, text_col, lang_col) if prototypes is None else prototypes
+    light_batches(docs.sparkSession)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     judged = _judge(p, prototypes)
     out = held.withColumn("_lang", judged(F.col("_text"))).where("_lang is not null")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, with_id
+from .common import chunks, light_batches, with_id
 
 
 def luhn(digits: str) -> bool:
@@ -186,6 +186,7 @@ def masked(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", leng
         for texts in parts:
             yield pa.array([t if t is None else mask(t, rules) for t in texts.to_pylist()], pa.string())
 
+    light_batches(docs.sparkSession)
     out = docs.withColumn(text_col, clean(F.col(f"`{text_col}`").cast("string")))
     if length_col in docs.columns:
         kind = dict(docs.dtypes)[length_col]
