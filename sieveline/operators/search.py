@@ -48,32 +48,45 @@ def query_terms(queries: DataFrame, id_col: str = "qid", text_col: str = "query"
     return queries.select(F.col(id_col).alias("qid"), F.explode(terms(text_col)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(posting: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, doc_id, bm25_score): the negated BM25 score, so the least is best, of documents with any query term."""
-    totals = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = query_terms(queries)
-    held = posting.join(asked.select("term").distinct(), "term", "left_semi")
+def _scores(held: DataFrame, totals: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scores from the postings (term, doc_id, tf, dl) of all query terms."""
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weighed = asked.join(df, "term").crossJoin(F.broadcast(totals)).select("qid", "term", "avgdl", (idf * F.col("qtf")).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = held.join(stats.select("doc_id", "dl"), "doc_id").join(weighed, "term")
-    return hits.groupBy("qid", "doc_id").agg((-F.sum(part)).alias("bm25_score"))
+    return held.join(weighed, "term").groupBy("qid", "doc_id").agg((-F.sum(part)).alias("bm25_score"))
+
+
+def _totals(stats: DataFrame) -> DataFrame:
+    return stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25_scores(posting: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, doc_id, bm25_score): the negated BM25 score, so the least is best, of documents with any query term."""
+    asked = query_terms(queries)
+    held = posting.join(asked.select("term").distinct(), "term", "left_semi").join(stats.select("doc_id", "dl"), "doc_id")
+    return _scores(held, _totals(stats), asked)
+
+
+def _best(scores: DataFrame, k: int | None) -> DataFrame:
+    return top(scores, ["qid"], [F.round("bm25_score", 9), F.col("doc_id")], "bm25_rank", k)
 
 
 def bm25_topk(posting: DataFrame, stats: DataFrame, queries: DataFrame, k: int | None = SOURCE_TOP_K) -> DataFrame:
     """(qid, doc_id, bm25_score, bm25_rank) of each query's best k; ties go to the least doc_id. A query without
     terms has no hits."""
     positive("k", k)
-    return top(bm25_scores(posting, stats, queries), ["qid"], [F.round("bm25_score", 9), F.col("doc_id")], "bm25_rank", k)
+    return _best(bm25_scores(posting, stats, queries), k)
 
 
 def bm25_documents(docs: DataFrame, queries: DataFrame, k: int | None = SOURCE_TOP_K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bm25_topk() straight from documents: only terms that some query has leave the scan."""
-    each = doc_terms(docs, id_col, text_col)
-    wanted = query_terms(queries).select("term").distinct()
-    posting = each.select("doc_id", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return bm25_topk(posting, each.select("doc_id", "dl"), queries, k)
+    positive("k", k)
+    each, asked = doc_terms(docs, id_col, text_col), query_terms(queries)
+    found = each.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # a document's length goes along with its terms, so the documents are read for them and for the totals only
+    held = found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    return _best(_scores(held, _totals(each), asked), k)
 
 
 def knn_topk(base: DataFrame, queries: DataFrame, dim: int, k: int | None = SOURCE_TOP_K) -> DataFrame:
