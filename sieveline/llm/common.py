@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when its rows, counted first, fit in this many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Text bytes that one numpy step handles at once; a longer document is a step of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 #: Rows that Spark hands to Python at once, where the session has its default; documents are large rows.

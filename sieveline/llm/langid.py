@@ -15,6 +15,8 @@ from .common import BROADCAST_BYTES, chunks, light_batches, with_id
 
 #: Class 0 is all that is no letter, 1 to 26 the ASCII letters; other letters share the rest by their code.
 CLASSES = 64
+#: Text that one matrix product handles; less would make the trigrams' vectors too often.
+CHUNK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -89,7 +91,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def _bundles(p: Profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, limit=CHUNK_BYTES):
             each = unit(vectors(texts, p).astype(np.float64))
             for lang, v in zip(batch.column("lang").to_pylist(), each):
                 sums[lang] = sums.get(lang, 0) + v
@@ -136,7 +138,7 @@ def _identify(p: Profiles, prototypes: dict[str, np.ndarray]):
     classify = _classify(p, prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, limit=CHUNK_BYTES):
             langs, cosine, margin, accepted = classify(texts)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(cosine), pa.array(margin), pa.array(accepted)], ["id", "lang", "cosine", "margin", "accepted"])
 
@@ -176,7 +178,7 @@ def _judge(p: Profiles, prototypes: dict[str, np.ndarray]):
         for texts in parts:
             batch = pa.RecordBatch.from_arrays([texts], ["text"])
             langs: list[str | None] = []
-            for _, some in chunks([batch]):
+            for _, some in chunks([batch], limit=CHUNK_BYTES):
                 found, _, _, accepted = classify(some)
                 langs += [x if a else None for x, a in zip(found, accepted)]
             yield pa.array(langs, pa.string())
