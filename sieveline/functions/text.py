@@ -59,8 +59,8 @@ def is_blank(c: Column | str) -> Column:
 def fence_token(c: Column | str) -> Column:
     """FNV-1a over the UTF-16 units of a text, in base 36."""
     units = F.hex(F.encode(col(c), "UTF-16BE"))
-    places = F.when(F.length(units) > 0, F.sequence(F.lit(1), F.length(units), F.lit(4))).otherwise(F.array().cast("array<int>"))
-    codes = F.transform(places, lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("long"))
+    # one pass; a substring at each place would walk there from the start each time
+    codes = F.transform(F.regexp_extract_all(units, F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
     value = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
     return F.lower(F.conv(value.cast("string"), 10, 36))
 
