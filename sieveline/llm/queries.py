@@ -91,8 +91,9 @@ SELECT doc_id, text, lang, source, n_chars, CAST(copy_no AS INTEGER) AS copy_no,
 
 
 def _terms(terms: tuple[str, ...], url: str) -> str:
-    held = ", ".join(f"'{t}'" for t in sorted(terms))
-    return f"list_filter([{held}], lambda t: regexp_matches({url}, '(^|[^\\p{{L}}\\p{{N}}])' || t || '($|[^\\p{{L}}\\p{{N}}])'))"
+    edge = "[^\\p{L}\\p{N}]"
+    held = ", ".join(f"CASE WHEN regexp_matches({url}, '(^|{edge}){t}($|{edge})') THEN '{t}' END" for t in sorted(terms))
+    return f"list_filter([{held}], lambda t: t IS NOT NULL)"
 
 
 OP10_SQL = f"""
