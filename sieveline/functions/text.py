@@ -127,4 +127,4 @@ def host_allowed(url: Column | str, hosts: list[str]) -> Column:
 def resource_uri(c: Column | str) -> Column:
     """Whether a text is scheme://kind/name with plain names and no parent steps."""
     text = F.coalesce(col(c), F.lit(""))
-    return text.rlike(r"\A[a-z][a-z0-9+.-]*://[a-z][a-z0-9_-]*/[A-Za-z0-9_.-]+\z") & ~text.contains("..")
+    return text.rlike(r"\A[a-z][a-z0-9+.-]*://[a-z][-_0-9a-z]*/[-._0-9A-Za-z]+\z") & ~text.contains("..")

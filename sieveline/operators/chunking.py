@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import PY_BLANK, is_blank
 
 SIZE, OVERLAP, LEAST, MOST = 1000, 200, 100, 4000
-HEADING = re.compile(r"(#{1,4})\s+(.+?)\s*\Z")
+HEADING = re.compile(r"(?P<marks>#{1,4})\s+(?P<title>.+?)\s*\Z")
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
@@ -49,10 +49,10 @@ def sections(text: str) -> list[tuple[str | None, str]]:
             fence = mark
         elif m := HEADING.match(line):
             close()
-            level = len(m[1])
+            level = len(m["marks"])
             while stack and stack[-1][0] >= level:
                 stack.pop()
-            stack.append((level, m[2]))
+            stack.append((level, m["title"]))
             continue
         body.append(line)
     close()

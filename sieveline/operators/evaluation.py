@@ -163,7 +163,7 @@ def fixed(x: float | None, digits: int) -> str:
 def benchmark_table(rows: list[dict], meta: VersionMeta | None = None) -> str:
     """A Markdown table of benchmark() rows."""
     names = [("hit_rate", 2), ("mrr", 4), ("mean_ndcg", 4), *[(m, 4) for m in metrics.ANSWER_METRICS]]
-    lines = ["| config | " + " | ".join(n for n, _ in names) + " |", "| --- |" + " ---: |" * len(names)]
+    lines = ["| config | " + " | ".join(n for n, _ in names) + " |", "|:--|" + "--:|" * len(names)]
     lines += ["| " + " | ".join([escape_cell_py(r["config"]), *[fixed(r.get(n), d) for n, d in names]]) + " |" for r in rows]
     if meta:
         lines += ["", *[f"- {k}: {escape_cell_py(str(v))}" for k, v in meta.__dict__.items()]]
@@ -174,9 +174,9 @@ def markdown_report(summary: dict, categories: list[dict], per_query: list[dict]
     """The summary, the categories by name, and a line for each query: its rank, MISS or ERROR."""
     out = [f"# {title}", "", f"Hit rate {fixed(summary['hit_rate'], 2)}, MRR {fixed(summary['mrr'], 4)}, {summary['total']} queries.", ""]
     if categories:
-        out += ["| category | hits | total | rate |", "| --- | ---: | ---: | ---: |"]
+        out += ["| category | hits | total | rate |", "|:--|--:|--:|--:|"]
         out += [f"| {escape_cell_py(c['category'])} | {c['hits']} | {c['total']} | {fixed(c['rate'], 2)} |" for c in sorted(categories, key=lambda c: c["category"])] + [""]
-    out += ["| query | result |", "| --- | --- |"]
+    out += ["| query | result |", "|:--|:--|"]
     for q in per_query:
         result = f"ERROR: {escape_cell_py(q['error'])}" if q.get("error") else "MISS" if q.get("hit_rank") is None else str(q["hit_rank"])
         out.append(f"| {escape_cell_py(q['query'])} | {result} |")

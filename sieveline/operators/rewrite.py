@@ -46,9 +46,9 @@ def parse(raw: str) -> str:
     """The query in a model's answer: without a fence around it, without quotes around it unless the same ones occur
     within, white space collapsed. An empty one, or one of more than MOST_CHARS, is malformed."""
     text = strip(raw)
-    fence = re.fullmatch(r"(```|~~~)[\w-]*\n([\s\S]*?)\n?\1", text, re.ASCII) or re.fullmatch(r"(```|~~~)(?:[\w-]+[ \t]+)?([\s\S]*?)\s*\1", text, re.ASCII)
+    fence = next(filter(None, (re.fullmatch(f"(?P<f>`{{3}}|~{{3}}){tag}(?P<body>.*?){end}(?P=f)", text, re.ASCII | re.DOTALL) for tag, end in ((r"[-\w]*\n", r"\n?"), (r"(?:[-\w]+[\t ]+)?", r"\s*")))), None)
     if fence:
-        text = strip(fence[2])
+        text = strip(fence["body"])
     again = True
     while again and len(text) > 1:
         again = False

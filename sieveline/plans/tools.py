@@ -161,7 +161,7 @@ class Resources:
     reading: Callable[[str], dict]
 
     def _check(self, uri: str) -> str:
-        if not re.fullmatch(rf"{re.escape(self.scheme)}://[a-z][a-z0-9_-]*/[A-Za-z0-9_.-]+", uri) or ".." in uri:
+        if not re.fullmatch(rf"{re.escape(self.scheme)}://[a-z][-_0-9a-z]*/[-._0-9A-Za-z]+", uri) or ".." in uri:
             raise ValueError(f"{uri!r} is no URI of {self.scheme}")
         return uri
 

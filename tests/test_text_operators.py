@@ -79,7 +79,7 @@ POSITIVE = {
     "⟦x": guard.ROLE,
     "x⟧": guard.ROLE,
 }
-BENIGN = ["操作系统：Linux", "系统设置", "操作指令如下", "act as a backup node", "developer mode of thinking", "Dan", "override the system defaults", "forget everything you learned in training", "reenact as model", "the previous instructions", "see system: below", "########## system"]
+BENIGN = ["操作系统：Linux", "系统设置", "操作指令如下", "act as a spare proxy", "a developer mode of thought", "Dan", "override the system defaults", "forget everything you learned in training", "reenact as model", "the previous instructions", "see system: below", "########## system"]
 
 
 def test_guard_finds_and_spares():
