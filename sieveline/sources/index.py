@@ -152,11 +152,15 @@ class Index:
             raise ValueError(f"{bad['blank']} chunks without content, {bad['vectors']} without {self.dim} finite numbers")
         first, batch = self.manifest["next_id"], uuid.uuid4().hex
         now = F.lit(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())).cast("timestamp")
-        # one batch's ids are contiguous, so they are counted over the order as a whole
-        numbered = chunks.withColumn("doc_id", F.row_number().over(Window.orderBy(*order)).cast("long") + (first - 1))
+        # a range sort numbers the rows of each partition by itself; how many come before a partition is added after
+        numbered = chunks.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
         staged = f"{self.path}/staged-{batch}"
-        numbered.select("doc_id", "content", "source", F.col("page").cast("int").alias("page"), "section", now.alias("indexed_at"), F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(staged)
-        rows = self.spark.read.parquet(staged)
+        numbered.select("_at", "content", "source", F.col("page").cast("int").alias("page"), "section", now.alias("indexed_at"), F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(staged)
+        part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+        held = self.spark.read.parquet(staged).withColumn("_part", part)
+        sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))
+        before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+        rows = held.join(before, "_part").withColumn("doc_id", F.lit(first) + F.col("_before") + place).drop("_part", "_before", "_at")
         each = search.doc_terms(rows, "doc_id", "content")
         tf = search.postings(rows, "doc_id", "content")
         out = {"docs": rows.select("doc_id", "content", "source", "page", "section", "indexed_at"), "doc_stats": each.select("doc_id", "dl"), "vectors": rows.select("doc_id", "embedding"), "postings": tf.repartition("term").sortWithinPartitions("term", "doc_id")}
