@@ -16,7 +16,10 @@ class Tables:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        # a table in fewer splits than there are cores is small: dealing out its rows costs less than idle cores
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def _queries(t: Tables) -> DataFrame:
