@@ -82,7 +82,7 @@ def packed(docs: DataFrame, p: Packing = Packing(), units: Column | None = None,
     sized = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), units.alias("units"))
     shards = max(1, math.ceil((sized.agg(F.sum("units")).first()[0] or 0) / p.shard_units))
     order = F.xxhash64(F.lit(p.seed), F.coalesce("id", F.lit(-1)))
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1, F.lit(p.capacity).cast("long")))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("units") - 1, F.lit(0).cast("long")), F.lit(p.capacity).cast("long")))
     pieces = sized.where("units > 0").select("id", "units", starts.alias("start"), order.alias("order"), F.pmod(order, F.lit(shards)).cast("long").alias("shard"))
     pieces = pieces.select("id", "start", F.least(F.col("units") - F.col("start"), F.lit(p.capacity)).cast("long").alias("length"), "order", "shard")
     out = pieces.groupBy("shard").applyInPandas(_pack(p), "bin_id long, bin_start long, id long, start long, length long")
