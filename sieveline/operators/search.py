@@ -16,6 +16,8 @@ from ..functions.text import is_blank, terms
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SOURCE_TOP_K, TOP_K, RRF_K, RERANK_TOP_K = 30, 10, 60, 5
+#: Distances that one matrix product of knn_blocks() gives.
+QUERY_CELLS = 1 << 20
 
 
 def positive(name: str, value: float | None, most: float = math.inf) -> None:
@@ -89,42 +91,48 @@ def bm25_documents(docs: DataFrame, queries: DataFrame, k: int | None = SOURCE_T
     return _best(_scores(held, _totals(each), asked), k)
 
 
+def _checked(df: DataFrame, key: str, dim: int, name: str) -> DataFrame:
+    v = vectors.doubles("embedding")
+    return df.select(key, F.when(vectors.valid(v, dim), v).otherwise(F.raise_error(F.lit(f"embedding must have {dim} finite numbers"))).alias(name))
+
+
 def knn_topk(base: DataFrame, queries: DataFrame, dim: int, k: int | None = SOURCE_TOP_K) -> DataFrame:
     """(qid, doc_id, distance, vec_rank): exact nearest by Euclidean distance. base has (doc_id, embedding), queries
     (qid, embedding); a vector of another length than dim or with a number that isn't finite is an error."""
     positive("k", k)
-
-    def checked(df: DataFrame, key: str, name: str) -> DataFrame:
-        v = vectors.doubles("embedding")
-        return df.select(key, F.when(vectors.valid(v, dim), v).otherwise(F.raise_error(F.lit(f"embedding must have {dim} finite numbers"))).alias(name))
-
-    pairs = checked(base, "doc_id", "_v").crossJoin(checked(queries, "qid", "_q"))
+    pairs = _checked(base, "doc_id", dim, "_v").crossJoin(_checked(queries, "qid", dim, "_q"))
     scored = pairs.select("qid", "doc_id", vectors.l2(F.col("_v"), F.col("_q")).alias("distance"))
     return top(scored, ["qid"], [F.round("distance", 9), F.col("doc_id")], "vec_rank", k)
 
 
 def knn_blocks(base: DataFrame, queries: DataFrame, dim: int, k: int = SOURCE_TOP_K, most_bytes: int = 32 << 20) -> DataFrame:
-    """knn_topk() by matrix products in Arrow batches, each batch keeping its best k of each query; for query sets
-    whose counted vectors fit in most_bytes, larger ones go through knn_topk()."""
+    """knn_topk() by matrix products in Arrow batches, each batch keeping what may be among the best k of each query,
+    ties included; for query sets whose counted vectors fit in most_bytes, larger ones go through knn_topk()."""
     positive("k", k)
     if queries.count() * dim * 8 > most_bytes:
         return knn_topk(base, queries, dim, k)
-    asked = queries.select("qid", vectors.doubles("embedding").alias("e")).toPandas()
-    ids, q = asked["qid"].tolist(), np.array(asked["e"].tolist(), np.float64).reshape(-1, dim)
+    asked = _checked(queries, "qid", dim, "e").toPandas()
+    ids, q = asked["qid"].to_numpy(), np.array(asked["e"].tolist(), np.float64).reshape(-1, dim)
+    eps = 4 * (dim + 4) * np.finfo(np.float64).eps
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            if not len(pdf) or not len(q):
+            if not len(pdf):
                 continue
             x, doc = np.array(pdf["embedding"].tolist(), np.float64).reshape(len(pdf), dim), pdf["doc_id"].to_numpy()
-            d2 = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
-            for i, row in enumerate(d2):
-                # a few more than k, as rounding may swap near ties; the exact distance decides
-                best = np.argpartition(row, k + 8)[: k + 8] if len(row) > k + 8 else np.arange(len(row))
-                exact = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
-                yield pd.DataFrame({"qid": ids[i], "doc_id": doc[best], "distance": exact})
-
-    near = base.select("doc_id", vectors.doubles("embedding").alias("embedding")).mapInPandas(run, "qid long, doc_id long, distance double")
+            xx, step = (x * x).sum(1), max(1, QUERY_CELLS // len(x))
+            for i in range(0, len(q), step):
+                some = q[i : i + step]
+                qq = (some * some).sum(1)
+                d2 = qq[:, None] + xx[None] - 2 * some @ x.T
+                # all within the k-th place's rounding: of the squares' sums, and of the 9 digits that ties go by
+                off = eps * (qq + xx.max())
+                kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(some), np.inf)
+                most = (np.sqrt(np.maximum(kth + off, 0)) + 1e-9) ** 2 + off
+                row, best = np.nonzero(d2 <= most[:, None])
+                yield pd.DataFrame({"qid": ids[i + row], "doc_id": doc[best], "distance": np.sqrt(((x[best] - some[row]) ** 2).sum(1))})
+
+    near = _checked(base, "doc_id", dim, "embedding").mapInPandas(run, "qid long, doc_id long, distance double")
     return top(near, ["qid"], [F.round("distance", 9), F.col("doc_id")], "vec_rank", k)
 
 

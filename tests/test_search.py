@@ -66,6 +66,19 @@ def test_knn_ties_zero_vectors_and_faults(spark):
         search.knn_topk(base, q, 2, 0)
 
 
+def test_knn_blocks_keep_all_ties(spark):
+    """50 equal vectors, the least ids last: any k of them won't do, and a batch's size changes nothing."""
+    rows = [(100 - i, [1.0, 2.0]) for i in range(50)] + [(200 + i, [9.0, float(i)]) for i in range(20)]
+    base = spark.createDataFrame(rows, "doc_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [0.1, 0.2]), (2, [1.0, 2.0])], "qid long, embedding array<float>")
+    want = sorted(map(tuple, search.knn_topk(base, q, 2, 3).select("qid", "doc_id", "vec_rank").collect()))
+    assert [d for _, d, _ in want] == [51, 52, 53] * 2
+    for b in (base, base.repartition(5)):
+        assert sorted(map(tuple, search.knn_blocks(b, q, 2, 3).select("qid", "doc_id", "vec_rank").collect())) == want
+    with pytest.raises(Exception, match="finite"):
+        search.knn_blocks(base, q.select("qid", F.array(F.lit(1.0), F.lit(None)).alias("embedding")), 2, 1).collect()
+
+
 def test_hybrid_needs_a_query_and_keeps_per_source_columns(spark):
     docs = spark.createDataFrame([(1, "alpha"), (2, "beta")], "doc_id long, text string")
     vecs = spark.createDataFrame([(1, [1.0]), (2, [0.0])], "doc_id long, embedding array<float>")
