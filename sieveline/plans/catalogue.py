@@ -129,6 +129,32 @@ def answer_relevance(t: Tables) -> DataFrame:
     return questions.select("qid", F.round(metrics.answer_relevance(F.col("q"), F.col("es")), 6).alias("answer_relevance"))
 
 
+# The four queries above ask for the ids of benchmark items only, as their SQL says; these three ask for every vector.
+@query(
+    "knn_all_topk",
+    f"""WITH ev AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), kd AS (SELECT q.vec_id AS qid, b.vec_id AS doc_id, {L2} AS distance FROM ev q, ev b)
+SELECT qid, doc_id, round(distance, 6) AS distance, vec_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), doc_id) AS vec_rank FROM kd) WHERE vec_rank <= 10""",
+)
+def knn_all_topk(t: Tables) -> DataFrame:
+    asked = t.embeddings.select(F.col("vec_id").alias("qid"), "embedding")
+    return search.knn_blocks(_base(t), asked, DIM, 10).select("qid", "doc_id", _r("distance"), F.col("vec_rank").cast("long").alias("vec_rank"))
+
+
+@query("cosine_all_pairs", "WITH ev AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT q.vec_id AS qid, b.vec_id AS doc_id, round(list_cosine_similarity(q.e, b.e), 6) AS cosine FROM ev q, ev b")
+def cosine_all_pairs(t: Tables) -> DataFrame:
+    asked = t.embeddings.select(F.col("vec_id").alias("qid"), vectors.doubles("embedding").alias("q"))
+    pairs = asked.crossJoin(t.embeddings.select(F.col("vec_id").alias("doc_id"), vectors.doubles("embedding").alias("e")))
+    return pairs.select("qid", "doc_id", F.round(vectors.cosine(F.col("q"), F.col("e")), 6).alias("cosine"))
+
+
+@query("answer_relevance_all", "WITH ev AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) SELECT q.vec_id AS qid, round(avg(list_cosine_similarity(q.e, b.e)), 6) AS answer_relevance FROM ev q JOIN ev b ON q.label = b.label AND q.vec_id <> b.vec_id GROUP BY 1")
+def answer_relevance_all(t: Tables) -> DataFrame:
+    # the mean over pairs as they come: a list of all vectors of a label for each of its queries wouldn't fit
+    asked = t.embeddings.select(F.col("vec_id").alias("qid"), "label", vectors.doubles("embedding").alias("q"))
+    pairs = asked.join(t.embeddings.select("label", F.col("vec_id").alias("v"), vectors.doubles("embedding").alias("e")), "label").where("v <> qid")
+    return pairs.groupBy("qid").agg(F.round(F.avg(vectors.cosine(F.col("q"), F.col("e"))), 6).alias("answer_relevance"))
+
+
 @query("embedding_validation", "SELECT vec_id, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0, false) AS valid FROM embeddings")
 def embedding_validation(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", vectors.valid(vectors.doubles("embedding"), DIM).alias("valid"))
