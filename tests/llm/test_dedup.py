@@ -164,6 +164,27 @@ def test_fuzzy_groups_against_all_pairs(spark):
     assert all(want[i] == want[g] for i, g in got.items())
 
 
+def scattered(n=150, seed=9):
+    """Documents and copies of them with edits spread over the text, so that few runs of signs stay whole."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    out = []
+    for _ in range(n):
+        ws = [word() for _ in range(rng.randint(250, 450))]
+        step = len(ws) // rng.randint(7, 13)
+        out += [" ".join(ws), " ".join(word() if i % step == step // 2 else w for i, w in enumerate(ws))]
+    return list(enumerate(out))
+
+
+def test_fuzzy_pairs_of_middling_score_meet(spark):
+    """A single shared run makes a pair a candidate, so none of score 70 to 85 is lost."""
+    docs = scattered()
+    out = {r["doc_id"]: r for r in ctph.grouped(spark.createDataFrame(docs, DOCS)).collect()}
+    middling = [i for i in range(0, len(docs), 2) if 70 <= alike(out[i], out[i + 1]) <= 85]
+    assert len(middling) > 40
+    assert all(out[i]["group_id"] == out[i + 1]["group_id"] for i in middling)
+
+
 def test_fuzzy_edge_rows(spark):
     rows = [(1, "same text here"), (2, "same text here"), (None, "same text here"), (3, None), (4, ""), (2, "other words entirely"), (5, "other words entirely"), (6, "long " * 50000)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"id": F.lit(0), "level": F.lit("x"), "root": F.lit("y")})
