@@ -46,6 +46,18 @@ def test_language_of_held_out_documents(spark):
     assert kept.columns == held.columns and kept.count() == accepted
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_gibberish_and_unknown_languages_are_rejected(spark):
+    docs, rng = spark.read.parquet(f"{DATA}/documents.parquet"), random.Random(1)
+    classify = langid._classify(langid.Profiles(), langid.train(docs.where("doc_id < 500")))
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (200, 800, 3000) for _ in range(20)]
+    odd += [" ".join(f"{rng.randrange(256):02x}" for _ in range(n)) for n in (300, 1000) for _ in range(10)]
+    odd += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza."]
+    assert not classify(odd)[3].any()
+    held = [r["text"] for r in docs.where("doc_id >= 500 and n_chars >= 40").select("text").collect()]
+    assert classify(held)[3].mean() >= 0.98
+
+
 def test_language_edge_rows(spark):
     words = {"aa": "tara nola miru sedo ", "bb": "xkwz qyvv zzjk wqxv "}
     rows = [(i, words[k] * (1 + i), k) for i in range(8) for k in words] + [(100, None, "aa"), (101, "", "bb"), (102, "123 !!", None), (None, "tara nola", " "), (3, "xkwz qyvv " * 60000, None), (3, "xkwz qyvv", None)]
