@@ -21,7 +21,7 @@ class MinHash:
     `words` successive words is at least `threshold`."""
 
     words: int = 3
-    groups: int = 10
+    groups: int = 14
     rows: int = 2
     threshold: float = 0.45
     seed: int = 42
@@ -156,7 +156,7 @@ def duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id",
     sketches = cut(sketches)
     exact = cut(sketches.select(F.min("id").over(Window.partitionBy("whole")).alias("a"), F.col("id").alias("b")).where("a <> b"))
     first = small(exact.select(F.col("b").alias("id")).distinct(), exact.count(), 16)
-    buckets = sketches.join(first, "id", "left_anti").select(F.explode("keys").alias("key"), "id").distinct()
+    buckets = sketches.join(first, "id", "left_anti").select(F.explode("keys").alias("key"), "id").repartition("key").distinct()
     near = verified_groups(buckets, verify_with(rows, p))
     edges = exact.unionByName(near.select(F.col("root").alias("a"), F.col("id").alias("b")))
     groups = components(edges)

@@ -72,6 +72,22 @@ def test_minhash_against_all_pairs(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(sets) - set(got)
 
 
+def test_minhash_finds_pairs_just_above_the_threshold(spark):
+    """Groups of two documents of likeness 0.45 to 0.5, with the parameters that are registered."""
+    rng, p, docs, want = random.Random(4), minhash.MinHash(), [], 0
+    while want < 600:
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        edited = list(ws)
+        for i in rng.sample(range(100), rng.randint(10, 14)):
+            edited[i] = f"x{rng.randrange(10**6)}"
+        a, b = (shingle_set(" ".join(t), p.words) for t in (ws, edited))
+        if 0.45 <= len(a & b) / len(a | b) <= 0.5:
+            docs += [" ".join(ws), " ".join(edited)]
+            want += 1
+    got = minhash.duplicates(spark.createDataFrame(list(enumerate(docs)), DOCS)).count()
+    assert 0.9 * want <= got <= want
+
+
 def test_minhash_edge_rows(spark):
     rows = [(1, "a b c d e f"), (2, "A, b c d e f!"), (None, "a b c d e f"), (3, None), (4, None), (5, ""), (6, " . "), (7, "one"), (8, "one"), (9, "two words"), (2, "a b c d e f"), (10, "x y " * 40000), (11, "x y " * 40000)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"id": F.lit("z"), "key": F.lit(1), "_gone": F.lit(2), "root": F.lit(3)})
