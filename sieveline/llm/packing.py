@@ -7,14 +7,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Packing:
     """capacity units in a sequence; at most open_bins are open at a time. Documents are dealt to shards of about
-    shard_units by a hash of their id; each shard is one online run, so shards, not executors, decide the result."""
+    shard_units by a hash of their id and copy; each shard is one online run, so shards, not executors, decide the result."""
 
     capacity: int = 8192
     open_bins: int = 64
@@ -75,15 +75,17 @@ def packed(docs: DataFrame, p: Packing = Packing(), units: Column | None = None,
 
     units is the length of a document, by default the UTF-8 bytes of its text and one for the end mark. A document
     longer than capacity is cut into pieces of capacity and a rest; nothing is dropped. The online order is that of a
-    hash of the id. Null texts count as empty ones, which have the end mark only; with units of 0 or null a
+    hash of the id and, from the second row of an id on, its number among these, so that copies scatter. Null texts count as empty ones, which have the end mark only; with units of 0 or null a
     document has no pieces. Rows that repeat an id are packed one by one; a null id is packed like any other.
     """
     units = F.coalesce(units.cast("long"), F.lit(0)) if units is not None else F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long") + 1
     sized = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), units.alias("units"))
     shards = max(1, math.ceil((sized.agg(F.sum("units")).first()[0] or 0) / p.shard_units))
-    order = F.xxhash64(F.lit(p.seed), F.coalesce("id", F.lit(-1)))
+    sized = sized.where("units > 0").withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("units")))
+    first = F.xxhash64(F.lit(p.seed), F.coalesce("id", F.lit(-1)))
+    order = F.when(F.col("copy") == 1, first).otherwise(F.xxhash64(F.lit(p.seed), F.coalesce("id", F.lit(-1)), "copy"))
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("units") - 1, F.lit(0).cast("long")), F.lit(p.capacity).cast("long")))
-    pieces = sized.where("units > 0").select("id", "units", starts.alias("start"), order.alias("order"), F.pmod(order, F.lit(shards)).cast("long").alias("shard"))
+    pieces = sized.select("id", "units", starts.alias("start"), order.alias("order"), F.pmod(order, F.lit(shards)).cast("long").alias("shard"))
     pieces = pieces.select("id", "start", F.least(F.col("units") - F.col("start"), F.lit(p.capacity)).cast("long").alias("length"), "order", "shard")
     out = pieces.groupBy("shard").applyInPandas(_pack(p), "bin_id long, bin_start long, id long, start long, length long")
     return out.withColumnRenamed("id", id_col)

@@ -116,6 +116,17 @@ def test_packing_covers_every_unit_once(spark):
     assert full > 0.9
 
 
+def test_copies_scatter_over_sequences(spark):
+    """30 copies of one document among others don't follow one another."""
+    docs = spark.createDataFrame([(i, "x" * 9, "s") for i in range(270)] + [(999, "y" * 9, "s")] * 30, DOCS)
+    p = packing.Packing(capacity=100, open_bins=1)
+    out = packing.packed(docs, p).toPandas().sort_values(["bin_id", "bin_start"])
+    copies = out[out.doc_id == 999]
+    assert len(out) == 300 and len(copies) == 30 and copies["bin_id"].nunique() >= 15
+    again = packing.packed(docs.repartition(7), p).toPandas().sort_values(["bin_id", "bin_start"])
+    assert out.to_numpy().tolist() == again.to_numpy().tolist()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 32).flatmap(lambda b: st.tuples(st.just(b), st.lists(st.integers(0, 2**b - 1), max_size=70))), st.integers(1, 20), st.integers(-5, 80), st.integers(-5, 80))
 def test_bits_round_trip(case, block, start, stop):
