@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, U, chunks, lists, mix, span_hashes, with_id, words
+from .common import BROADCAST_BYTES, U, chunks, id_type, lists, mix, span_hashes, with_id, words
 
 #: Leading bytes of a word that make a term of their own, so that words of one stem share one.
 STEM = 5
@@ -19,22 +19,30 @@ STEM = 5
 @dataclass(frozen=True)
 class Machine:
     """A term is a word, or the first STEM bytes of a longer one, hashed to `bits`. Learned from at most train_rows
-    labelled documents, those of least hash, a fifth of them held out to choose the threshold. Terms in fewer than
-    min_docs of them, or whose log odds lie within min_z standard errors of 0, have no weight."""
+    labelled documents, those of least hash, a fifth of them held out to choose the threshold.
+
+    Terms in at least min_docs of them have weights if their own log odds are min_z standard errors from 0, or if the
+    presence of some other term shifts theirs by min_pair_z of them; pairs are tried of all terms in pair_docs of the
+    documents and more, where so strong an evidence can occur at all. So a term that is harmless alone is kept for the
+    company in which it isn't. Fitting ends after `rounds`, or when 10 of them lower the loss by less than
+    `tolerance` of it."""
 
     bits: int = 22
     factors: int = 8
     train_rows: int = 10_000
     min_docs: int = 3
     min_z: float = 2.5
-    rounds: int = 100
+    pair_docs: float = 0.01
+    min_pair_z: float = 6.0
+    rounds: int = 300
+    tolerance: float = 1e-3
     rate: float = 0.1
     decay: float = 2e-3
     seed: int = 42
 
     def __post_init__(self) -> None:
-        if not 1 <= self.bits <= 31 or min(self.factors, self.train_rows, self.min_docs, self.rounds) < 1:
-            raise ValueError("bits must be in 1..31; factors, train_rows, min_docs and rounds 1 or more")
+        if not 1 <= self.bits <= 24 or min(self.factors, self.train_rows, self.min_docs, self.rounds) < 1:
+            raise ValueError("bits must be in 1..24; factors, train_rows, min_docs and rounds 1 or more")
 
 
 @dataclass(frozen=True)
@@ -45,6 +53,7 @@ class Model:
     pairs: np.ndarray
     threshold: float
     bits: int
+    losses: tuple[float, ...] = ()
 
     def score(self, term: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """The probability of each of n documents from its distinct places in terms, given with their documents."""
@@ -74,8 +83,75 @@ def _terms(bits: int):
     return run
 
 
+def _errors(toxic: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log odds of toxic out of held documents, half a document added to either kind, and their variance."""
+    a, b = np.maximum(toxic, 0) + 0.5, np.maximum(held - toxic, 0) + 0.5
+    return np.log(a / b), 1 / a + 1 / b
+
+
+def telling(owner: np.ndarray, term: np.ndarray, y: np.ndarray, train: np.ndarray, p: Machine, step: int = 512) -> np.ndarray:
+    """The terms that have weights, by the documents in train: see Machine. Pairs are counted by matrix products of
+    step terms each."""
+    n, t = float(train.sum()), float(y[train].sum())
+    seen = train[owner]
+    owner, term = (np.cumsum(train) - 1)[owner[seen]], term[seen]
+    kinds, place = np.unique(term, return_inverse=True)
+    truth = y[train]
+    with_term, toxic = np.bincount(place).astype(np.float64), np.bincount(place, truth[owner])
+    (odds, var), (other, other_var) = _errors(toxic, with_term), _errors(t - toxic, n - with_term)
+    enough = with_term >= p.min_docs
+    keep = enough & (np.abs(odds - other) >= p.min_z * np.sqrt(var + other_var))
+    # a term that nearly all documents have, or lack, can't be told from its absence
+    usual = np.flatnonzero(enough & (np.minimum(with_term, n - with_term) >= p.pair_docs * n))
+    at = np.full(len(kinds), -1)
+    at[usual] = np.arange(len(usual))
+    held = at[place] >= 0
+    order = np.argsort(at[place[held]], kind="stable")
+    column, row = at[place[held]][order], owner[held][order]
+    bounds = np.searchsorted(column, np.arange(0, len(usual) + step, step))
+    bad = np.flatnonzero(truth > 0)
+
+    def block(k: int) -> np.ndarray:
+        out = np.zeros((len(truth), min(step, len(usual) - k * step)), np.float32)
+        out[row[bounds[k] : bounds[k + 1]], column[bounds[k] : bounds[k + 1]] - k * step] = 1
+        return out
+
+    for i in range(len(bounds) - 1):
+        x = block(i)
+        a = usual[i * step : i * step + x.shape[1]]
+        for j in range(i, len(bounds) - 1):
+            z = x if i == j else block(j)
+            b = usual[j * step : j * step + z.shape[1]]
+            both, both_toxic = x.T @ z, x[bad].T @ z[bad]
+            first, second, first_toxic, second_toxic = with_term[a][:, None], with_term[b][None], toxic[a][:, None], toxic[b][None]
+            cells = [_errors(both_toxic, both), _errors(first_toxic - both_toxic, first - both), _errors(second_toxic - both_toxic, second - both), _errors(t - first_toxic - second_toxic + both_toxic, n - first - second + both)]
+            shift = cells[0][0] - cells[1][0] - cells[2][0] + cells[3][0]
+            strong = np.abs(shift) >= p.min_pair_z * np.sqrt(sum(v for _, v in cells))
+            if i == j:
+                np.fill_diagonal(strong, False)
+            keep[a] |= strong.any(axis=1)
+            keep[b] |= strong.any(axis=0)
+    return kinds[keep]
+
+
+def gradients(state: dict[str, np.ndarray], x: np.ndarray, o: np.ndarray, target: np.ndarray, decay: float) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean log loss over documents with the terms x of documents o, decay / 2 a term's mean square weight with
+    it, and its gradient by bias, linear and pair weights."""
+    m, n, factors = len(target), len(state["w"]), state["v"].shape[1]
+    v = state["v"][x]
+    sums = np.stack([np.bincount(o, v[:, f], m) for f in range(factors)], axis=1)
+    logit = state["b"][0] + np.bincount(o, state["w"][x], m) + 0.5 * ((sums * sums).sum(axis=1) - np.bincount(o, (v * v).sum(axis=1), m))
+    loss = np.logaddexp(0, np.where(target > 0, -logit, logit)).mean() + 0.5 * decay * ((state["w"] ** 2).sum() + (state["v"] ** 2).sum()) / n
+    error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - target) / m
+    e = error[o]
+    push = e[:, None] * (sums[o] - v)
+    by_term = np.stack([np.bincount(x, push[:, f], n) for f in range(factors)], axis=1)
+    return float(loss), {"b": np.array([error.sum()]), "w": np.bincount(x, e, n) + decay * state["w"] / n, "v": by_term + decay * state["v"] / n}
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, p: Machine = Machine()) -> Model:
-    """A model from each document's distinct terms and whether it is toxic; without both kinds nothing is toxic."""
+    """A model from each document's distinct terms and whether it is toxic; without both kinds nothing is toxic. Its
+    losses are the mean log loss over the taught documents before each round."""
     empty = Model(np.zeros(0, np.int64), -60.0, np.zeros(0), np.zeros((0, p.factors)), 0.5, p.bits)
     y = np.asarray(y, np.float64)
     if not len(y) or y.min() == y.max():
@@ -84,14 +160,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, p: Machine = Machine()) -> Model:
     held = np.random.default_rng(p.seed).random(len(y)) < 0.2
     if y[~held].min() == y[~held].max() or not y[held].any():
         held[:] = False
-    seen = ~held[owner]
-    kinds, place = np.unique(term[seen], return_inverse=True)
-    with_term = np.bincount(place)
-    toxic = np.bincount(place, y[owner[seen]])
-    n, t = float((~held).sum()), float(y[~held].sum())
-    a, b, c, d = toxic + 0.5, with_term - toxic + 0.5, t - toxic + 0.5, n - t - with_term + toxic + 0.5
-    z = np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    kinds = kinds[(with_term >= p.min_docs) & (np.abs(z) >= p.min_z)]
+    kinds = telling(owner, term, y, ~held, p)
     if not len(kinds):
         return empty
     at = np.minimum(np.searchsorted(kinds, term), len(kinds) - 1)
@@ -101,22 +170,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray, p: Machine = Machine()) -> Model:
     rows_of = np.cumsum(~held) - 1
     x, o, target, m = term[train], rows_of[owner[train]], y[~held], int((~held).sum())
     rng = np.random.default_rng(p.seed)
-    state = {"b": np.array([np.log(t / (n - t))]), "w": np.zeros(len(kinds)), "v": rng.normal(0, 0.01, (len(kinds), p.factors))}
+    state = {"b": np.array([np.log(target.mean() / (1 - target.mean()))]), "w": np.zeros(len(kinds)), "v": rng.normal(0, 0.01, (len(kinds), p.factors))}
     moments = {k: (np.zeros_like(s), np.zeros_like(s)) for k, s in state.items()}
+    losses: list[float] = []
     for step in range(1, p.rounds + 1):
-        v = state["v"][x]
-        sums = np.stack([np.bincount(o, v[:, f], m) for f in range(p.factors)], axis=1)
-        logit = state["b"][0] + np.bincount(o, state["w"][x], m) + 0.5 * ((sums * sums).sum(axis=1) - np.bincount(o, (v * v).sum(axis=1), m))
-        error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - target) / m
-        e = error[o]
-        push = e[:, None] * (sums[o] - v)
-        grads = {"b": np.array([error.sum()]), "w": np.bincount(x, e, len(kinds)) + p.decay * state["w"] / len(kinds), "v": np.stack([np.bincount(x, push[:, f], len(kinds)) for f in range(p.factors)], axis=1) + p.decay * state["v"] / len(kinds)}
+        loss, grads = gradients(state, x, o, target, p.decay)
+        losses.append(loss)
+        if step > 20 and losses[-11] - loss < p.tolerance * losses[-11]:
+            break
         for k, g in grads.items():
             first, second = moments[k]
             first += 0.1 * (g - first)
             second += 0.001 * (g * g - second)
             state[k] = state[k] - p.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    model = Model(kinds, float(state["b"][0]), state["w"], state["v"], 0.5, p.bits)
+    model = Model(kinds, float(state["b"][0]), state["w"], state["v"], 0.5, p.bits, tuple(losses))
     if held.any():
         some = held[owner]
         score = model.score(term[some], (np.cumsum(held) - 1)[owner[some]], int(held.sum()))
@@ -124,21 +191,21 @@ def fit(rows: list[np.ndarray], y: np.ndarray, p: Machine = Machine()) -> Model:
         for cut in np.arange(0.3, 0.95, 0.05):
             f1 = 2 * (truth & (score >= cut)).sum() / max(1, truth.sum() + (score >= cut).sum())
             if f1 > best + 1e-9:
-                best, model = f1, Model(model.terms, model.bias, model.linear, model.pairs, float(round(cut, 2)), p.bits)
+                best, model = f1, replace(model, threshold=float(round(cut, 2)))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Machine = Machine(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labels (id_col, label_col 0 or 1). Null ids, labels and texts aren't learned from; the greatest of
     several labels of an id counts, and of several texts of it one."""
-    y = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    y = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     y = y.orderBy(F.xxhash64(F.lit(p.seed), "id"), "id").limit(p.train_rows)
     if p.train_rows * 24 <= BROADCAST_BYTES:
         y = F.broadcast(y)
     rows = with_id(docs, id_col, text_col).where("text is not null").join(y, "id")
-    got = rows.mapInArrow(_terms(p.bits), "id long, y int, terms array<int>").toArrow()
+    got = rows.mapInArrow(_terms(p.bits), f"id {id_type(docs, id_col)}, y int, terms array<int>").toArrow()
     table = got.sort_by("id") if got.num_rows else got
-    ids, column = table.column("id").to_numpy(), table.column("terms").combine_chunks()
+    ids, column = np.array(table.column("id").to_pylist()), table.column("terms").combine_chunks()
     if not len(ids):
         return fit([], np.zeros(0), p)
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
@@ -169,9 +236,9 @@ def _score(model: Model, all_rows: bool):
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, toxic) of each row from its whole text; null and empty texts have no terms and the score of
     the bias alone; null and repeated ids go row by row."""
-    return with_id(docs, id_col, text_col).mapInArrow(_score(model, True), "id long, score double, toxic boolean").withColumnRenamed("id", id_col)
+    return with_id(docs, id_col, text_col).mapInArrow(_score(model, True), f"id {id_type(docs, id_col)}, score double, toxic boolean").withColumnRenamed("id", id_col)
 
 
 def flagged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of scored() that are toxic."""
-    return with_id(docs, id_col, text_col).mapInArrow(_score(model, False), "id long, score double, toxic boolean").withColumnRenamed("id", id_col)
+    return with_id(docs, id_col, text_col).mapInArrow(_score(model, False), f"id {id_type(docs, id_col)}, score double, toxic boolean").withColumnRenamed("id", id_col)
