@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, light_batches, with_id
+from .common import chunks, id_type, light_batches, with_id
 
 
 def luhn(digits: str) -> bool:
@@ -60,7 +61,9 @@ CONTRARY = {
     "SSN": re.compile(r"\b(?:order|isbn|part|serial|sku|version)\b"),
     "SECRET": re.compile(r"\b(?:commit|checksum|sha1|sha256|md5|digest)\b"),
 }
-LOCAL = re.compile(r"[A-Za-z0-9À-ɏ!#$%&'*+/=?^_`{|}~.-]*[A-Za-z0-9À-ɏ_+-]\Z")
+#: Signs of the local part of an address, other than letters and digits; it can't begin with those of EDGE.
+LOCAL = frozenset("!#$%&'*+/=?^_`{|}~.-")
+EDGE = frozenset(".-'/{}|`=?^!#$%&*~")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 #: Runs of digits and the signs that may part them.
 NUMBERS = re.compile(r"[0-9][0-9 ().\- ]{5,}[0-9]")
@@ -71,26 +74,62 @@ _GROUPS = r"(?:(?:[ -][0-9]{2,4}){1,4}|(?:\.[0-9]{2,4}){1,4})(?![0-9]|[.-][0-9])
 PHONE = re.compile(rf"\+[0-9]{{1,3}}(?:[ .-]?\([0-9]{{1,4}}\)[ .-]?|[ .-])[0-9]{{1,4}}{_GROUPS}|\+[0-9]{{8,15}}(?![0-9])|\([0-9]{{2,4}}\)[ .-]?[0-9]{{2,4}}{_GROUPS}|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}(?![0-9]|[.-][0-9])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 SECRET = re.compile(r"[=:][ \t]*[\"']?([A-Za-z0-9_/+.~-]{16,})")
-WORD = re.compile(r"(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|credentials?)[\"']?\s*\Z", re.I)
+#: What may stand before the sign of an assignment; no longer than NAMED, so that many signs before it are enough.
+WORD = re.compile(r"(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|credentials?)[\"']?\Z", re.I)
+NAMED = 16
+#: Keys that their own prefix betrays.
+KEY = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}|glpat-[0-9A-Za-z_-]{20,})(?![0-9A-Za-z])")
+KEY_SIGNS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk_live_", "glpat-")
+BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+END = re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
+COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
+HEX = frozenset("0123456789abcdefABCDEF:.")
+
+
+def issued(digits: str) -> bool:
+    """Whether a card number of that many digits begins like this."""
+    n, two, three, four = len(digits), int(digits[:2]), int(digits[:3]), int(digits[:4])
+    return (
+        digits[0] == "4" and n in (13, 16, 19)
+        or (51 <= two <= 55 or 2221 <= four <= 2720) and n == 16
+        or two in (34, 37) and n == 15
+        or (300 <= three <= 305 or three == 309 or two in (36, 38, 39)) and n in (14, 16, 19)
+        or (four == 6011 or two in (62, 65) or 644 <= three <= 649 or 3528 <= four <= 3589) and 16 <= n <= 19
+        or four in (5018, 5020, 5038, 5893, 6304, 6759, 6761, 6762, 6763) and 13 <= n <= 19
+    )
+
+
+def _local(text: str, at: int) -> int:
+    """Where the local part of the address begins whose @ is at at; at if there is none. No sign is read twice for
+    two addresses, as @ itself isn't part of it."""
+    start = at
+    while start and ((c := text[start - 1]) in LOCAL or c.isalnum() and c < "\u0250"):
+        start -= 1
+    while start < at and text[start] in EDGE:
+        start += 1
+    return start if start < at and (text[at - 1].isalnum() or text[at - 1] in "_+-") else at
+
+
+def _assigned(text: str, at: int) -> bool:
+    """Whether the sign at at follows a word for a secret, with white space between or not."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return WORD.search(text, max(0, at - NAMED), at) is not None
 
 
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of what looks like personal data and passes the checks of its kind."""
     at = text.find("@")
     while at >= 0:
-        local, domain = LOCAL.search(text, max(0, at - 64), at), DOMAIN.match(text, at + 1)
-        if local and domain:
-            start = local.start()
-            while start < at and text[start] in ".-'/{}|`=?^!#$%&*~":
-                start += 1
-            if start < at:
-                yield "EMAIL", start, domain.end()
+        start, domain = _local(text, at), DOMAIN.match(text, at + 1)
+        if start < at and domain:
+            yield "EMAIL", start, domain.end()
         at = text.find("@", at + 1)
     for run in NUMBERS.finditer(text):
         start, end = run.span()
         for m in CARD.finditer(text, start, end):
             digits = re.sub(r"\D", "", m[0])
-            if luhn(digits) and len(set(digits)) > 1:
+            if luhn(digits) and len(set(digits)) > 1 and issued(digits):
                 yield "CARD", *m.span()
         for m in IP.finditer(text, start, end):
             try:
@@ -121,9 +160,33 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "IBAN", m.start(), end
     for m in SECRET.finditer(text):
         value = m[1]
-        named = WORD.search(text, max(0, m.start() - 24), m.start())
-        if named and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and _assigned(text, m.start()):
             yield "SECRET", m.start(1), m.end(1)
+    if any(sign in text for sign in KEY_SIGNS):
+        for m in KEY.finditer(text):
+            yield "SECRET", *m.span()
+    block = BEGIN.search(text)
+    while block:
+        end = END.search(text, block.end())
+        yield "SECRET", block.start(), end.end() if end else block.end()
+        block = BEGIN.search(text, end.end()) if end else None
+    done = 0
+    for m in COLONS.finditer(text):
+        if m.start() < done:
+            continue
+        start, done = m.start(), m.end()
+        while start and text[start - 1] in HEX:
+            start -= 1
+        while done < len(text) and text[done] in HEX:
+            done += 1
+        value = text[start:done].rstrip(".") if text[done - 1 : done] == "." else text[start:done]
+        outside = not (start and text[start - 1].isalnum()) and not text[done : done + 1].isalnum()
+        if outside and sum(map(bool, value.split(":"))) >= 3 and any(c.isdigit() for c in value):
+            try:
+                ipaddress.IPv6Address(value)
+            except ValueError:
+                continue
+            yield "IP", start, start + len(value)
 
 
 def spans(text: str, rules: Rules = Rules()) -> list[tuple[str, int, int, float]]:
@@ -140,11 +203,13 @@ def spans(text: str, rules: Rules = Rules()) -> list[tuple[str, int, int, float]
         score = round(min(1.0, max(0.0, score)), 6)
         if score >= rules.threshold:
             scored.append((kind, start, end, score))
-    kept: list[tuple[str, int, int, float]] = []
-    for s in sorted(scored, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
-        if all(s[2] <= k[1] or k[2] <= s[1] for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s[1])
+    kept: list[tuple[int, int, str, float]] = []
+    for kind, start, end, score in sorted(scored, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
+        # those kept don't overlap, so only the two next to a span can be in its way
+        at = bisect_left(kept, (start,))
+        if (at == len(kept) or end <= kept[at][0]) and (not at or kept[at - 1][1] <= start):
+            kept.insert(at, (start, end, kind, score))
+    return [(kind, start, end, score) for start, end, kind, score in kept]
 
 
 def mask(text: str, rules: Rules = Rules()) -> str:
@@ -164,15 +229,15 @@ def _find(rules: Rules):
                 for kind, start, end, score in spans(t, rules):
                     ids.append(i), out.append((kind, start, end, t[start:end], score))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]], ["id", "kind", "start", "stop", "value", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), *[pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]], ["id", "kind", "start", "stop", "value", "score"])
 
     return run
 
 
 def found(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, kind, start, stop, value, score) of each span in each whole text; places count code points from 0.
-    Null and empty texts have none; null and repeated ids go row by row; no documents, no rows."""
-    schema = "id long, kind string, start int, stop int, value string, score double"
+    Null and empty texts have none; null and repeated ids, numbers or strings, go row by row; no documents, no rows."""
+    schema = f"id {id_type(docs, id_col)}, kind string, start int, stop int, value string, score double"
     return with_id(docs, id_col, text_col).mapInArrow(_find(rules), schema).withColumnRenamed("id", id_col)
 
 
@@ -190,5 +255,6 @@ def masked(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", leng
     out = docs.withColumn(text_col, clean(F.col(f"`{text_col}`").cast("string")))
     if length_col in docs.columns:
         kind = dict(docs.dtypes)[length_col]
-        out = out.withColumn(length_col, F.when(F.col(length_col).isNotNull(), F.coalesce(F.length(text_col), F.col(length_col))).cast(kind))
-    return out.select(docs.columns)
+        old = F.col(f"`{length_col}`")
+        out = out.withColumn(length_col, F.when(old.isNotNull(), F.coalesce(F.length(F.col(f"`{text_col}`")), old)).cast(kind))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
