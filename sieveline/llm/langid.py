@@ -11,10 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, chunks, light_batches, with_id
-
-#: Class 0 is all that is no letter, 1 to 26 the ASCII letters; other letters share the rest by their code.
-CLASSES = 64
+from .common import chunks, id_type, light_batches, small, with_id
+
+#: Class 0 is all that is no letter, 1 to 26 the ASCII letters; other letters share the rest by their code, so that
+#: those of one alphabet, which follow one another, have classes of their own.
+CLASSES = 128
+#: Prototypes that the driver gathers and each task holds.
+MOST_LANGUAGES = 2000
+#: Trigrams whose vectors one matrix product has.
+BLOCK = 4096
+#: Bundles are added up in this fraction of 1.
+SCALE = float(1 << 40)
 #: Text that one matrix product handles; less would make the trigrams' vectors too often.
 CHUNK_BYTES = 1 << 20
 
@@ -78,10 +85,16 @@ def vectors(texts: list[str], p: Profiles) -> np.ndarray:
     place[code] = 1
     held = np.flatnonzero(place)
     place[held] = np.arange(len(held))
-    counts = np.bincount(owner * len(held) + place[code], minlength=len(texts) * len(held)).reshape(len(texts), len(held)).astype(np.float32)
+    at = place[code]
     plain, once, twice = letters(p.dim, p.seed)
-    grams = twice[held // CLASSES**2] * once[held // CLASSES % CLASSES] * plain[held % CLASSES]
-    return counts @ grams.astype(np.float32)
+    out = np.zeros((len(texts), p.dim), np.float32)
+    for low in range(0, len(held), BLOCK):
+        some = held[low : low + BLOCK]
+        mine = (at >= low) & (at < low + BLOCK)
+        counts = np.bincount(owner[mine] * len(some) + (at[mine] - low), minlength=len(texts) * len(some)).reshape(len(texts), len(some)).astype(np.float32)
+        grams = twice[some // CLASSES**2] * once[some // CLASSES % CLASSES] * plain[some % CLASSES]
+        out += counts @ grams.astype(np.float32)
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -90,31 +103,34 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _bundles(p: Profiles):
+    """The sum of each language's unit bundles, one row for each of its numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch, texts in chunks(batches, limit=CHUNK_BYTES):
             each = unit(vectors(texts, p).astype(np.float64))
             for lang, v in zip(batch.column("lang").to_pylist(), each):
                 sums[lang] = sums.get(lang, 0) + v
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "bundle"])
+        for lang, v in sums.items():
+            # whole numbers add up to the same in any order
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * p.dim, pa.string()), pa.array(range(p.dim), pa.int32()), pa.array(np.rint(v * SCALE).astype(np.int64))], ["lang", "k", "part"])
 
     return run
 
 
 def train(docs: DataFrame, p: Profiles = Profiles(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """A unit prototype for each language that lang_col names. Null or blank labels, null ids and null texts aren't
-    learned from; rows that repeat an id and label come or stay out together; no labelled rows, no prototypes."""
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.trim(F.col(f"`{lang_col}`").cast("string")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and lang <> '' and text is not null")
+    """A unit prototype for each language that lang_col names; the executors add up the bundles. Null or blank labels,
+    null ids and null texts aren't learned from; rows that repeat an id and label come or stay out together; ids may
+    be numbers or strings; no labelled rows, no prototypes. More than MOST_LANGUAGES labels are a ValueError."""
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.trim(F.col(f"`{lang_col}`").cast("string")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and lang <> '' and text is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(p.seed), "id"), "id")
-    ids = named.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.train_rows).select("id", "lang").distinct().toPandas()
-    if ids.empty:
-        return {}
-    chosen = docs.sparkSession.createDataFrame(ids, "id long, lang string")
-    if len(ids) * 64 <= BROADCAST_BYTES:
-        chosen = F.broadcast(chosen)
-    parts = named.join(chosen, ["id", "lang"]).mapInArrow(_bundles(p), "lang string, bundle array<double>").toPandas()
-    return {k: unit(np.sum(np.stack(list(g)), axis=0)).astype(np.float32) for k, g in sorted(parts.groupby("lang")["bundle"])}
+    chosen = named.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.train_rows).select("id", "lang").distinct()
+    n, langs = chosen.agg(F.count("*"), F.count_distinct("lang")).first()
+    if langs > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has {langs} different labels, more than {MOST_LANGUAGES}")
+    parts = named.join(small(chosen, n, 64), ["id", "lang"]).mapInArrow(_bundles(p), "lang string, k int, part long")
+    sums = parts.groupBy("lang", "k").agg(F.sum("part").alias("part")).toPandas().sort_values(["lang", "k"])
+    return {k: unit(g.to_numpy().astype(np.float64)).astype(np.float32) for k, g in sums.groupby("lang")["part"]}
 
 
 def _classify(p: Profiles, prototypes: dict[str, np.ndarray]):
@@ -150,10 +166,10 @@ def identified(docs: DataFrame, p: Profiles = Profiles(), prototypes: dict[str,
     """(id_col, lang, cosine, margin, accepted) of each row, from its whole text.
 
     Without prototypes they are trained on docs. Null texts, empty ones and those without letters are of language
-    und with cosine 0 and not accepted; equal cosines leave no margin. Null and repeated ids go row by row.
+    und with cosine 0 and not accepted; equal cosines leave no margin. Null and repeated ids, numbers or strings, go row by row.
     """
     prototypes = train(docs, p, id_col, text_col, lang_col) if prototypes is None else prototypes
-    schema = "id long, lang string, cosine double, margin double, accepted boolean"
+    schema = f"id {id_type(docs, id_col)}, lang string, cosine double, margin double, accepted boolean"
     return with_id(docs, id_col, text_col).mapInArrow(_identify(p, prototypes), schema).withColumnRenamed("id", id_col)
 
 
