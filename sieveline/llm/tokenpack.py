@@ -10,12 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, lists
+from .common import chunks, id_type, lists, with_id
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words of letters with a space before them, numbers, other signs and white space, as byte-level BPE splits them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = 50257
+#: The id that ends a document, the only special one of this vocabulary.
+END = 50256
 
 
 def width(vocabulary: int) -> int:
@@ -71,13 +73,15 @@ def read(data: bytes, offsets, n: int, bits: int, block: int, start: int = 0, st
     return np.concatenate(got)[start - first * block : stop - first * block]
 
 
-def _encode(path: str, bits: int, block: int):
+def _encode(path: str, bits: int, block: int, end: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_to_numpy
         for batch, texts in chunks(batches):
             n, data, offsets = [], [], []
             for t in texts:
                 ids = encode(t, disallowed_special=())
+                if end is not None:
+                    ids = np.append(ids, np.uint32(end))
                 packed, at = pack_blocks(ids, bits, block)
                 n.append(len(ids)), data.append(packed), offsets.append(at)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), lists(pa.array(np.concatenate(offsets)), np.array([len(x) for x in offsets])), pa.array(data, pa.binary())], ["id", "n_tokens", "offsets", "packed"])
@@ -85,16 +89,16 @@ def _encode(path: str, bits: int, block: int):
     return run
 
 
-def packed_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, vocabulary: int = VOCABULARY, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, vocabulary: int = VOCABULARY, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", end: int | None = None) -> DataFrame:
     """(id_col, n_tokens, offsets, packed) of each row: its token ids in width(vocabulary) bits each.
 
     The text is split and merged as the byte-level BPE of the vocabulary file does; strings of special tokens are
-    ordinary text. Block b lies in packed[offsets[b]:offsets[b + 1]]. Null and empty texts have no tokens, offsets
-    [0] and no bytes. Null and repeated ids are carried along, row by row.
+    ordinary text. If end is given, it follows the ids of each document. Block b lies in
+    packed[offsets[b]:offsets[b + 1]]. Null and empty texts have no tokens but the end, offsets [0] and no bytes if
+    that is none. Null and repeated ids, numbers or strings, are carried along, row by row. tokenizer is a path that
+    all executors can read: of a shared file, or of one that SparkContext.addFile() has sent to them.
     """
     if block < 1:
         raise ValueError("block must be 1 or more")
-    from .common import with_id
-
-    schema = "id long, n_tokens long, offsets array<int>, packed binary"
-    return with_id(docs, id_col, text_col).mapInArrow(_encode(tokenizer, width(vocabulary), block), schema).withColumnRenamed("id", id_col)
+    schema = f"id {id_type(docs, id_col)}, n_tokens long, offsets array<int>, packed binary"
+    return with_id(docs, id_col, text_col).mapInArrow(_encode(tokenizer, width(vocabulary), block, end), schema).withColumnRenamed("id", id_col)
