@@ -7,11 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, as_long, chunks, cut, lists, mix, small, with_id, word_hashes
-from .grouping import components, verified_groups
+from .common import U, as_long, chunks, cut, id_type, lists, mix, scratch, small, with_id, word_hashes
+from .grouping import components, links, verified_edges
+
+#: Members of a centre that one task compares with it; a larger group is dealt out to several tasks.
+MEMBERS = 10_000
 
 
 @dataclass(frozen=True)
@@ -35,8 +38,8 @@ class MinHash:
 
 
 def shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the runs of n words of each text; how many each text has; a hash of all its words in order. A text
-    of fewer words has one run of what it has, one without words has none."""
+    """Hashes of the runs of n words of each text; how many each text has; two 64-bit hashes of all its words in order.
+    A text of fewer words has one run of what it has, one without words has none."""
     h, owner = word_hashes(texts)
     count = np.bincount(owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
@@ -49,9 +52,12 @@ def shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     for k in range(n):
         same = owner_padded[at + k] == owner[at]
         out = out * U(0x100000001B3) + np.where(same, padded[at + k], U(k + 1))
-    # the whole document: a position-dependent sum of its words
-    whole = np.zeros(len(texts), U)
-    np.add.at(whole, owner, mix(h + place.astype(U) * U(0xD6E8FEB86659FD93)))
+    # the whole document: position-dependent sums of its words
+    whole = np.zeros((len(texts), 2), U)
+    has = np.flatnonzero(count)
+    for k, odd in enumerate((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)):
+        if len(has):
+            whole[has, k] = np.add.reduceat(mix(h * U(2 * k + 1) + place.astype(U) * U(odd)), first[has])
     return mix(out), np.bincount(owner[at], minlength=len(texts)), whole
 
 
@@ -85,7 +91,7 @@ def _sketch(p: MinHash):
                 continue
             keys = table_keys(signatures(hashes, counts, factors), p.groups, p.rows)
             ids = batch.column("id").filter(pa.array(has))
-            yield pa.RecordBatch.from_arrays([ids, as_long(whole[has]), lists(as_long(keys.ravel()), np.full(len(keys), keys.shape[1]))], ["id", "whole", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, as_long(whole[has, 0]), as_long(whole[has, 1]), lists(as_long(keys.ravel()), np.full(len(keys), keys.shape[1]))], ["id", "whole", "whole2", "keys"])
 
     return run
 
@@ -122,48 +128,63 @@ def _compare(threshold: float):
                     j = common / max(1, len(own) + len(x) - common)
                     if j >= threshold:
                         a.append(c), b.append(m), s.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "jaccard"])
+            kind = batch.schema.field("c").type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(s, pa.float64())], ["a", "b", "jaccard"])
 
     return run
 
 
 def verify_with(rows: DataFrame, p: MinHash):
-    """A function that keeps, of pairs (a, b), those whose Jaccard likeness reaches the threshold."""
+    """A function that keeps, of pairs (a, b), those whose Jaccard likeness reaches the threshold. The members of a
+    centre a are dealt out to tasks of about MEMBERS, each with the centre's own set."""
+    kind = id_type(rows, "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.select("a", "b"))
-        need = pairs.select(F.col("a").alias("c"), F.col("b").alias("m")).unionByName(pairs.select(F.col("a").alias("c"), F.col("a").alias("m")).distinct())
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        ids = cut(ids)
-        sets = rows.join(small(ids, ids.count(), 16), "id", "left_semi").mapInArrow(_sets(p), "id long, set array<int>")
-        # a repeated id would be compared more than once; its first row stands for it
-        placed = need.join(sets.withColumnRenamed("id", "m"), "m").select("c", "m", "set").repartition("c")
-        return placed.sortWithinPartitions("c", F.col("m") != F.col("c"), "m").mapInArrow(_compare(p.threshold), "a long, b long, jaccard double")
+        shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("tasks"))
+        members = pairs.join(shares, "a").select(F.col("a").alias("c"), F.col("b").alias("m"), F.pmod(F.xxhash64("b"), "tasks").cast("int").alias("task"))
+        own = shares.select(F.col("a").alias("c"), F.col("a").alias("m"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        sets = rows.join(small(ids, ids.count(), 16), "id", "left_semi").mapInArrow(_sets(p), f"id {kind}, set array<int>")
+        placed = members.unionByName(own).join(sets.withColumnRenamed("id", "m"), "m").select("c", "task", "m", "set").repartition("c", "task")
+        return placed.sortWithinPartitions("c", "task", F.col("m") != F.col("c"), "m").select("c", "m", "set").mapInArrow(_compare(p.threshold), f"a {kind}, b {kind}, jaccard double")
 
     return verify
 
 
 def duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, duplicate_of) for each document that is a near copy of a kept one, the least id of its group.
-
-    Equal word sequences are joined first. The others meet in the tables, are compared by the exact Jaccard likeness
-    of their shingles, and groups are the connected components of those that pass. Words are runs of letters and
-    digits without regard to case. A null id, null text or text without words is no copy of anything; rows that
-    repeat an id count as one document, whose text is that of any of them; no documents, no rows.
+    """(id_col, duplicate_of, links) for each document that is a near copy of a kept one, the least id of its group.
+
+    Equal word sequences are joined first, by 128-bit hashes. The others meet in the tables, are compared by the exact
+    Jaccard likeness of their shingles, and groups are the connected components of those that pass. links is the
+    number of such verified links that the search made to the document: each group has enough of them to be whole,
+    copies aren't paired with one another. Words are runs of letters and digits without regard to case. Ids may be
+    numbers or strings. A null id, null text or text without words is no copy of anything; rows that repeat an id
+    count as one document, which is like whatever any of its texts is like; no documents, no rows.
     """
     rows = with_id(docs, id_col, text_col).where("id is not null and text is not null")
-    sketches = rows.mapInArrow(_sketch(p), "id long, whole long, keys array<long>")
-    sketches = cut(sketches)
-    exact = cut(sketches.select(F.min("id").over(Window.partitionBy("whole")).alias("a"), F.col("id").alias("b")).where("a <> b"))
-    first = small(exact.select(F.col("b").alias("id")).distinct(), exact.count(), 16)
-    buckets = sketches.join(first, "id", "left_anti").select(F.explode("keys").alias("key"), "id").repartition("key").distinct()
-    near = verified_groups(buckets, verify_with(rows, p))
-    edges = exact.unionByName(near.select(F.col("root").alias("a"), F.col("id").alias("b")))
-    groups = components(edges)
-    return groups.where("id <> root").select(F.col("id").alias(id_col), F.col("root").alias("duplicate_of"))
+    with scratch(docs.sparkSession) as keep:
+        sketches = cut(rows.mapInArrow(_sketch(p), f"id {id_type(docs, id_col)}, whole long, whole2 long, keys array<long>"))
+        same = cut(sketches.groupBy("whole", "whole2").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last"))
+        exact = cut(sketches.select("whole", "whole2", F.col("id").alias("b")).join(small(same, same.count(), 32), ["whole", "whole2"]).where("a <> b").select("a", "b"))
+        first = small(exact.select(F.col("b").alias("id")).distinct(), exact.count(), 16)
+        buckets = sketches.join(first, "id", "left_anti").select(F.explode("keys").alias("key"), "id")
+        edges = exact.unionByName(verified_edges(buckets, verify_with(rows, p)))
+        found = keep(cut(components(edges).where("id <> root").join(links(edges), "id").select(F.col("id").alias(id_col), F.col("root").alias("duplicate_of"), "links")))
+    return found
 
 
 def deduplicated(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that duplicates() names, all its columns as they were; rows of null id stay."""
-    gone = cut(duplicates(docs, p, id_col, text_col).select(F.col(id_col).alias("_gone")))
-    return docs.join(small(gone, gone.count(), 16), docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """docs without the documents that duplicates() names, all its columns as they were; rows of null id stay. Of rows
+    that repeat an id one stays, that of the least text, a null being the least."""
+    own = docs[f"`{id_col}`"]
+    gone = duplicates(docs, p, id_col, text_col).select(F.col(id_col).alias("_gone"))
+    kept = docs.join(small(gone, gone.count(), 16), own == gone["_gone"], "left_anti")
+    again = cut(docs.select(own.alias("_again")).where("_again is not null").groupBy("_again").agg(F.count("*").alias("n")).where("n > 1").select("_again"))
+    n = again.count()
+    if not n:
+        return kept
+    again = small(again, n, 16)
+    one = kept.join(again, own == again["_again"], "left_semi").select(own.alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    one = one.groupBy("_id").agg(F.min_by("_row", F.struct("_text")).alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return kept.join(again, own == again["_again"], "left_anti").unionByName(one)
