@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.shuffled(mixing.replicated(_table(spark, sf_dir, "documents")))
+    out = mixing.mixed(_table(spark, sf_dir, "documents"), more=("_copy", "_place"))
     return out.withColumnsRenamed({"_copy": "copy_no", "_place": "place"})
 
 
-def op2_itq_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.near_pairs(_table(spark, sf_dir, "embeddings"))
+def op2_itq_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.grouped(_table(spark, sf_dir, "embeddings"))
 
 
 def op3_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def op6_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    return packing.packed_ids(_table(spark, sf_dir, "documents"))
 
 
 def op8_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,30 +92,39 @@ SELECT doc_id, text, lang, source, n_chars, CAST(copy_no AS INTEGER) AS copy_no,
 """
 
 
-def _terms(terms: tuple[str, ...], url: str) -> str:
-    edge = "[^\\p{L}\\p{N}]"
-    held = ", ".join(f"CASE WHEN regexp_matches({url}, '(^|{edge}){t}($|{edge})') THEN '{t}' END" for t in sorted(terms))
-    return f"list_filter([{held}], lambda t: t IS NOT NULL)"
+def _url_sql(v: urlfilter.Vocabulary) -> str:
+    edge, literal = "[^\\p{L}\\p{N}]", lambda t: "'" + t.replace("'", "''") + "'"
 
+    def weight(t: urlfilter.Term) -> str:
+        whole = lambda part: f"regexp_matches({part}, '(^|{edge}){re.escape(t.term)}($|{edge})')"
+        host = f"contains(host, {literal(t.term)})" if t.inside else whole("host")
+        return f"{{'t': {literal(t.term)}, 'w': greatest(CASE WHEN {host} THEN {t.host}::DOUBLE ELSE 0 END, CASE WHEN {whole('path')} THEN {t.path}::DOUBLE ELSE 0 END)}}"
 
-OP10_SQL = f"""
+    shields = "|".join(sorted(v.shields, key=lambda w: (-len(w), w)))
+    blank = lambda part: f"regexp_replace({part}, '{shields}', ' ', 'g')" if shields else part
+    return f"""
 WITH u AS (
   SELECT page_id, url, lower(url_decode(coalesce(url, ''))) AS l FROM pages
-), v AS (
-  SELECT page_id, url, {_terms(urlfilter.STRICT, "l")} AS strict,
-         regexp_replace(l, '(^|[^\\p{{L}}\\p{{N}}])(?:{"|".join(sorted(urlfilter.STRICT, key=len, reverse=True))})($|[^\\p{{L}}\\p{{N}}])', '\\1\\2', 'g') AS rest FROM u
+), p AS (
+  SELECT page_id, url, {blank(f"regexp_extract(l, '{urlfilter.HOST}', 1)")} AS host, {blank(f"substr(l, length(regexp_extract(l, '{urlfilter.HOST}')) + 1)")} AS path FROM u
 ), w AS (
-  SELECT page_id, url, strict, {_terms(urlfilter.SOFT, "rest")} AS soft FROM v
+  SELECT page_id, url, list_filter(list_sort([{", ".join(weight(t) for t in v.terms)}]), lambda x: x.w > 0) AS held FROM p
+), s AS (
+  SELECT page_id, url, list_transform(list_filter(held, lambda x: x.w >= 1), lambda x: x.t) AS strict, list_transform(list_filter(held, lambda x: x.w < 1), lambda x: x.t) AS soft,
+         coalesce(list_sum(list_transform(held, lambda x: x.w)), 0.0)::DOUBLE AS weight FROM w
 )
-SELECT page_id, url, array_to_string(strict, ',') AS strict, array_to_string(soft, ',') AS soft,
-       len(strict) > 0 OR len(soft) >= 2 AS rejected FROM w
+SELECT page_id, url, array_to_string(strict, ',') AS strict, array_to_string(soft, ',') AS soft, weight,
+       len(strict) > 0 OR (len(soft) >= {v.soft_needed} AND weight >= 1) AS rejected FROM s
 """
 
 
+OP10_SQL = _url_sql(urlfilter.load())
+
+
 def queries() -> dict:
     return {
         "op1_poisson_mix": op1_poisson_mix,
-        "op2_itq_near_pairs": op2_itq_near_pairs,
+        "op2_itq_near_dups": op2_itq_near_dups,
         "op3_packed_tokens": op3_packed_tokens,
         "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
         "op5_minhash_tensor": op5_minhash_tensor,
