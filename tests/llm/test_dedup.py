@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.llm import ann, ctph, minhash
+from sieveline.llm import common
 from sieveline.llm.common import shared_folder
-from sieveline.llm.grouping import components
+from sieveline.llm.grouping import components, strangers
 
 DOCS = "doc_id long, text string"
 
@@ -60,7 +61,7 @@ def shingle_set(text, n):
 
 def test_minhash_against_all_pairs(spark):
     docs = corpus()
-    p = minhash.MinHash(threshold=0.5)
+    p = minhash.MinHash()
     sets = {i: shingle_set(t, p.words) for i, t in docs}
     alike = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= p.threshold]
     want = groups(sets, alike)
@@ -91,20 +92,62 @@ def test_minhash_finds_pairs_just_above_the_threshold(spark):
 def test_minhash_edge_rows(spark):
     rows = [(1, "a b c d e f"), (2, "A, b c d e f!"), (None, "a b c d e f"), (3, None), (4, None), (5, ""), (6, " . "), (7, "one"), (8, "one"), (9, "two words"), (2, "a b c d e f"), (10, "x y " * 40000), (11, "x y " * 40000)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"id": F.lit("z"), "key": F.lit(1), "_gone": F.lit(2), "root": F.lit(3)})
-    assert {tuple(r) for r in minhash.duplicates(docs).collect()} == {(2, 1), (8, 7), (11, 10)}
+    assert {tuple(r) for r in minhash.duplicates(docs).collect()} == {(2, 1, 1), (8, 7, 1), (11, 10, 1)}
     out = minhash.deduplicated(docs)
     assert out.columns == docs.columns and sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3, 4, 5, 6, 7, 9, 10]
+    again = docs.unionByName(docs).unionByName(docs)
+    assert sorted(r["doc_id"] for r in minhash.deduplicated(again).where("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 7, 9, 10], "rows that repeat an id are one document"
+    names = docs.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))
+    assert {tuple(r)[:2] for r in minhash.duplicates(names).collect()} == {("id-2", "id-1"), ("id-8", "id-7"), ("id-11", "id-10")}
     assert minhash.duplicates(docs.limit(0)).count() == 0
     for bad in ({"groups": 0}, {"threshold": 0}, {"threshold": 1.1}):
         with pytest.raises(ValueError):
             minhash.MinHash(**bad)
 
 
+def test_links_hold_groups_together(spark):
+    docs = corpus(30, 8)
+    out = minhash.duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert all(r["links"] >= 1 for r in out)
+    sizes = {}
+    for r in out:
+        sizes[r["duplicate_of"]] = sizes.get(r["duplicate_of"], 0) + 1
+    assert any(n > 1 for n in sizes.values())
+
+
+def test_large_groups_are_dealt_out(spark, monkeypatch):
+    """A centre's members are compared in several tasks, each of which has the centre's text."""
+    monkeypatch.setattr(minhash, "MEMBERS", 3)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base, f"x{rng.randrange(10**9)}"]) for _ in range(40)]
+    got = minhash.duplicates(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    assert {r["doc_id"] for r in got} == set(range(1, 40)) and {r["duplicate_of"] for r in got} == {0}
+
+
+def test_a_passage_in_every_document_links_none(spark):
+    """Documents that share a third of their words meet in buckets but aren't near copies; true copies still are."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = [passage + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(80)) for _ in range(120)]
+    docs += [t + " more" for t in docs[:10]]
+    got = {(r["doc_id"], r["duplicate_of"]) for r in minhash.duplicates(spark.createDataFrame(list(enumerate(docs)), DOCS)).collect()}
+    assert got == {(120 + i, i) for i in range(10)}
+
+
+def test_strangers_are_all_pairs_of_different_roots(spark):
+    rng = random.Random(3)
+    rows = [(k, i, i if rng.random() < 0.3 else 1000 + k) for k in range(6) for i in rng.sample(range(100), 20)]
+    got = sorted(map(tuple, strangers(spark.createDataFrame(rows, "key long, id long, root long"), ["key"]).collect()))
+    want = sorted({(min(a, b), max(a, b)) for k, a, r in rows for j, b, q in rows if k == j and r != q})
+    assert got == want and want
+
+
 def test_residual_pairs_are_verified(spark):
     """The bucket's least id is like none of the others; these still find each other."""
     from sieveline.llm.grouping import verified_groups
 
-    buckets = spark.createDataFrame([(1, i) for i in range(8)], "key long, id long")
+    buckets = spark.createDataFrame([(1, i) for i in range(8)] + [(1, 3)], "key long, id long")
     alike = {(2, 3), (3, 4), (5, 6)}
     verify = lambda pairs: pairs.where(F.concat_ws("-", "a", "b").isin([f"{a}-{b}" for a, b in alike]))
     got = {r["id"]: r["root"] for r in verified_groups(buckets, verify).collect()}
@@ -205,27 +248,60 @@ def test_fuzzy_edge_rows(spark):
     rows = [(1, "same text here"), (2, "same text here"), (None, "same text here"), (3, None), (4, ""), (2, "other words entirely"), (5, "other words entirely"), (6, "long " * 50000)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"id": F.lit(0), "level": F.lit("x"), "root": F.lit("y")})
     got = {(r["doc_id"], r["group_id"]) for r in ctph.grouped(docs).collect()}
+    assert {r["doc_id"] for r in ctph.grouped(docs).where("links > 0").collect()} == {1, 2, 5}
+    names = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {r["group_id"] for r in ctph.grouped(names).where("links > 0").collect()} == {"d1"}
     assert got == {(1, 1), (2, 1), (None, None), (3, 3), (4, 4), (5, 1), (6, 6)}
     assert ctph.grouped(docs.limit(0)).count() == 0
 
 
-def test_near_vectors_against_all_pairs(spark):
-    rng = np.random.default_rng(0)
-    base = rng.normal(size=(1500, 32))
-    near = base[:600] + rng.normal(size=(600, 32)) * rng.uniform(0.01, 0.25, (600, 1))
-    x = np.concatenate([base, near, base[:20]])
+def near_vectors(seed=0, dim=32):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(1500, dim))
+    near = base[:600] + rng.normal(size=(600, dim)) * rng.uniform(0.01, 0.25, (600, 1))
+    hot = base[700] + rng.normal(size=(150, dim)) * 0.05
+    return np.concatenate([base, near, base[:20], hot])
+
+
+@pytest.mark.parametrize("dim", [32, 96])
+def test_near_vectors_against_all_pairs(spark, dim):
+    x = near_vectors(dim, dim)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = unit @ unit.T
-    want = {(i, j) for i, j in zip(*np.nonzero(s >= 0.97)) if i < j}
+    alike = [(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.97)) if i < j]
+    want = groups(range(len(x)), alike)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(r["a"], r["b"]): r["cosine"] for r in ann.near_pairs(df).collect()}
-    assert len(want) > 400 and len(want & set(got)) >= 0.9 * len(want) and not set(got) - want
-    assert all(abs(c - s[p]) < 1e-9 for p, c in got.items())
+    out = ann.grouped(df).collect()
+    got = {r["vec_id"]: r["group_id"] for r in out}
+    linked = [i for i in want if want[i] != i]
+    assert len(out) == len(x) and len(linked) > 500
+    assert sum(got[i] == want[i] for i in linked) >= 0.95 * len(linked)
+    assert all(want[i] == want[g] for i, g in got.items()), "only verified likeness links"
+    degree = np.bincount(np.array(alike).ravel(), minlength=len(x))
+    for r in out:
+        assert (r["links"] > 0) == (r["group_id"] != r["vec_id"] or r["vec_id"] in got.values() and list(got.values()).count(r["vec_id"]) > 1)
+        assert r["links"] <= degree[r["vec_id"]]
+
+
+def test_vectors_meet_by_cosine(spark):
+    """Recall of pairs, each a group of its own, by how alike they are."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = rng.normal(size=x.shape)
+    g -= (g * x).sum(1, keepdims=True) * x
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    c = np.where(np.arange(1200) < 600, 0.971, 0.985)[:, None]
+    y = c * x + np.sqrt(1 - c * c) * g
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["group_id"] for r in ann.grouped(df).collect()}
+    found = [got[1200 + i] == i for i in range(1200)]
+    assert sum(found[:600]) >= 0.93 * 600 and sum(found[600:]) >= 0.99 * 600
 
 
 def test_tables_find_all_codes_within_the_radius():
     rng = random.Random(2)
-    for bits, rows, radius in ((64, 50_000, 7), (64, 10**8, 7), (32, 2000, 5), (3, 10, 7)):
+    for bits, rows, radius in ((64, 50_000, 5), (64, 10**8, 5), (64, 10**12, 5), (64, 500, 5), (32, 2000, 5), (3, 10, 7), (64, 10**6, 7)):
         layout = ann.tables(bits, rows, radius)
         for _ in range(300):
             a = rng.getrandbits(bits)
@@ -239,9 +315,12 @@ def test_vector_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0]), (10, [None, 1.0]), (2, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "v": F.lit(1), "norm": F.lit(2), "label": F.lit(None).cast("int")})
-    assert [(r["a"], r["b"]) for r in ann.near_pairs(df).collect()] == [(1, 2)]
-    assert ann.near_pairs(df.limit(0)).count() == 0
-    for bad in ({"bits": 65}, {"rounds": 0}, {"radius": -1}, {"threshold": 2}):
+    got = sorted(((r["vec_id"] or 0), r["group_id"], r["links"]) for r in ann.grouped(df).collect())
+    assert got == [(0, None, 0), (1, 1, 1), (2, 1, 1), (2, 1, 1), *[(i, i, 0) for i in range(3, 11)]]
+    names = df.withColumn("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    assert {r["group_id"] for r in ann.grouped(names).where("links > 0").collect()} == {"v1"}
+    assert ann.grouped(df.limit(0)).count() == 0
+    for bad in ({"bits": 65}, {"rounds": 0}, {"radius": -1}, {"threshold": 2}, {"rotations": 0}):
         with pytest.raises(ValueError):
             ann.Quantiser(**bad)
 
@@ -249,3 +328,27 @@ def test_vector_edge_rows(spark):
 def test_shared_folder_is_the_sessions(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
     assert shared_folder(spark).removeprefix("file:").startswith(named)
+
+
+def test_intermediate_tables_are_deleted(spark):
+    """Only what the result stands on stays in the shared folder, and release() deletes that."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+    held = lambda: len(fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))))
+    docs, before = spark.createDataFrame(corpus(10), DOCS), held()
+    out = minhash.duplicates(docs)
+    assert held() - before == 1 and out.count() > 0
+    common.release(spark)
+    assert held() <= before
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = lambda self: None
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())
