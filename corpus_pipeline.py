@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm import langid, minhash, mixing, packing, pii
-from sieveline.llm.common import cut
+from sieveline.llm.common import cut, discard, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,20 +29,24 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
-    return packing.packed(docs)
+    """The packed sequences: each piece of each document and copy with its token ids and its place."""
+    return packing.packed_ids(docs)
 
 
 STAGES = [("language_id", language), ("minhash_dedup", near_dedup), ("pii", private_data), ("poisson_mix", mix), ("best_fit_packing", pack)]
 
-#: SQL can't express the trained profiles, the Arrow-side hashing or the online packing.
+#: SQL can't express the trained profiles, the Arrow-side hashing, the token ids or the online packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    """(bin_id, bin_start, doc_id, copy_no, start, length, ids): the ids of the pieces of a bin, in the order of
+    bin_start, are a training sequence. What a stage has written is deleted once the next has been."""
+    docs, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir)))
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
