@@ -84,6 +84,22 @@ def canonical_column(c: Column) -> Column:
     return F.pandas_udf(canonical, "string")(c)
 
 
+def call_key_column(tool: Column, index_version: Column, args: Column) -> Column:
+    """cache_key() of columns, the arguments as JSON objects; null for what is none."""
+
+    def keyed(tools: pd.Series, versions: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(name: str | None, version: str | None, text: str | None) -> str | None:
+            try:
+                held = None if text is None else json.loads(text)
+            except ValueError:
+                return None
+            return cache_key(name, version, held) if isinstance(held, dict) else None
+
+        return pd.Series([one(*row) for row in zip(tools, versions, texts)], dtype=object)
+
+    return F.pandas_udf(keyed, "string")(tool, index_version, args)
+
+
 def skip_write(args: dict[str, Any], result: dict[str, Any]) -> bool:
     """Whether a result isn't worth caching: an error, one of low confidence, or one for another environment than dev."""
     if result.get("isError") is True:

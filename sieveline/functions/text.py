@@ -34,9 +34,17 @@ def fold(c: Column | str) -> Column:
     return F.translate(F.lower(col(c)), ACCENTED, PLAIN)
 
 
+_HAN = r"\p{IsHan}"
+_OTHER = r"[\p{L}\p{N}&&[^\p{IsHan}]]"
+#: At the place of each term, the term: a run of other letters and digits, two Han letters, or one that stands alone.
+_MIXED = f"(?=((?<!{_OTHER}){_OTHER}+|{_HAN}{{2}}|(?<!{_HAN}){_HAN}(?!{_HAN})))"
+
+
 def terms(c: Column | str) -> Column:
-    """Index terms: folded runs of letters and digits; null for null."""
-    return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Index terms: folded runs of letters and digits, of Han letters each two that follow one another; null for null."""
+    folded = fold(c)
+    plain = F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.when(folded.rlike(_HAN), F.regexp_extract_all(folded, F.lit(_MIXED), F.lit(1))).otherwise(plain)
 
 
 def strip_controls(c: Column | str) -> Column:

@@ -115,6 +115,19 @@ def chunked(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: s
     return docs.where(~is_blank(text_col)).select(id_col, *keep, F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
+def sectioned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, section_ix, section, content) of the sections of each text, section_ix from 0."""
+    kinds = dict(docs.dtypes)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(i, k, title, body) for i, text in pdf.itertuples(index=False, name=None) if isinstance(text, str) for k, (title, body) in enumerate(sections(text))]
+            yield pd.DataFrame(rows, columns=[id_col, "section_ix", "section", "content"])
+
+    schema = f"`{id_col}` {kinds[id_col]}, section_ix int, section string, content string"
+    return docs.where(~is_blank(text_col)).select(id_col, F.col(text_col).alias("_text")).mapInPandas(run, schema)
+
+
 def page_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(source, page, chunk_ix, section, content) of pages (source, page, text). Each page starts without headings."""
     return chunked(pages, size, overlap, id_col="source", keep=("page",))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions.text import escape_cell_py, is_blank
+from ..sources.shared import cut, scratch
 from . import judges, metrics
 from .providers import CONTENT_MISSING, Embed, Generate, strip
 
@@ -128,14 +129,15 @@ def run_answer_eval(queries: DataFrame, results: DataFrame, models: AnswerModels
 def benchmark(queries: DataFrame, expected: DataFrame, results: DataFrame, answers: DataFrame | None = None, top_k: int = metrics.TOP_K, strict: bool = False) -> DataFrame:
     """One row a configuration of results (config, qid, pos, source, ...): total, hits, hit_rate, mrr, mean_ndcg and
     the answer means. A query that a configuration gives nothing for counts as a miss; an answer metric that was
-    never measured is null."""
-    configs = results.select("config").distinct()
-    grid = queries.crossJoin(configs)
-    kept = results.where(F.col("pos") <= top_k)
-    hits = metrics.matching(kept, expected, strict).withColumn("_gain", F.lit(1.0))
-    gains = kept.select("config", "qid", "pos").join(hits, ["config", "qid", "pos"], "left").groupBy("config", "qid").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_gain", F.lit(0.0)).alias("g")))).alias("l"), F.min(F.when(F.col("_gain") == 1, F.col("pos"))).alias("hit_rank"))
-    scored = grid.join(gains.select("config", "qid", "hit_rank", metrics.ndcg(F.col("l.g"), top_k).alias("ndcg")), ["config", "qid"], "left")
-    scored = scored.withColumns({"reciprocal_rank": F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0)), "ndcg": F.coalesce("ndcg", F.lit(0.0))})
+    never measured is null. What makes the results runs once, at once."""
+    with scratch(queries.sparkSession) as keep:
+        results = cut(results.select("config", "qid", "pos", "source", *[c for c in ("page",) if c in results.columns]))
+        grid = queries.crossJoin(results.select("config").distinct())
+        kept = results.where(F.col("pos") <= top_k)
+        hits = metrics.matching(kept, expected, strict).withColumn("_gain", F.lit(1.0))
+        gains = kept.select("config", "qid", "pos").join(hits, ["config", "qid", "pos"], "left").groupBy("config", "qid").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_gain", F.lit(0.0)).alias("g")))).alias("l"), F.min(F.when(F.col("_gain") == 1, F.col("pos"))).alias("hit_rank"))
+        scored = grid.join(gains.select("config", "qid", "hit_rank", metrics.ndcg(F.col("l.g"), top_k).alias("ndcg")), ["config", "qid"], "left")
+        scored = keep(cut(scored.select("config", "qid", "hit_rank", F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0)).alias("reciprocal_rank"), F.coalesce("ndcg", F.lit(0.0)).alias("ndcg"))))
     out = metrics.summary(scored, ["config"]).join(scored.groupBy("config").agg(F.avg("ndcg").alias("mean_ndcg")), "config")
     return out if answers is None else out.join(metrics.answer_means(answers, ["config"]), "config", "left")
 

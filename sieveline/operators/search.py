@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import is_blank, terms
+from ..sources.shared import cut, scratch
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SOURCE_TOP_K, TOP_K, RRF_K, RERANK_TOP_K = 30, 10, 60, 5
-#: Distances that one matrix product of knn_blocks() gives.
+#: Numbers that one matrix product of a block of queries gives.
 QUERY_CELLS = 1 << 20
 
 
@@ -34,20 +36,24 @@ def top(df: DataFrame, by: list[str], order: list[Column], rank: str, k: int | N
     return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
-def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Makes an array of terms of a column of texts: terms(), or a segmenter of one's own.
+Segment = Callable[[Column], Column]
+
+
+def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: Segment = terms) -> DataFrame:
     """(doc_id, terms, dl); a null text has no terms."""
-    found = F.coalesce(terms(text_col), F.array().cast("array<string>"))
+    found = F.coalesce(segment(F.col(text_col)), F.array().cast("array<string>"))
     return docs.select(F.col(id_col).alias("doc_id"), found.alias("terms")).withColumn("dl", F.size("terms"))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: Segment = terms) -> DataFrame:
     """(term, doc_id, tf), one row for each term of each document."""
-    return doc_terms(docs, id_col, text_col).select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return doc_terms(docs, id_col, text_col, segment).select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame, id_col: str = "qid", text_col: str = "query") -> DataFrame:
+def query_terms(queries: DataFrame, id_col: str = "qid", text_col: str = "query", segment: Segment = terms) -> DataFrame:
     """(qid, term, qtf); a term that a query repeats counts as often."""
-    return queries.select(F.col(id_col).alias("qid"), F.explode(terms(text_col)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    return queries.select(F.col(id_col).alias("qid"), F.explode(segment(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
 def _scores(held: DataFrame, totals: DataFrame, asked: DataFrame) -> DataFrame:
@@ -81,14 +87,19 @@ def bm25_topk(posting: DataFrame, stats: DataFrame, queries: DataFrame, k: int |
     return _best(bm25_scores(posting, stats, queries), k)
 
 
-def bm25_documents(docs: DataFrame, queries: DataFrame, k: int | None = SOURCE_TOP_K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bm25_topk() straight from documents: only terms that some query has leave the scan."""
+def bm25_documents(docs: DataFrame, queries: DataFrame, k: int | None = SOURCE_TOP_K, id_col: str = "doc_id", text_col: str = "text", segment: Segment = terms) -> DataFrame:
+    """bm25_topk() straight from documents, which are read once: the postings of the terms that some query has go to
+    the shared folder, and one more for each document, of the term '', which carries its length for the totals. Runs
+    at once; only the best k stay in the folder. For many calls keep an Index instead."""
     positive("k", k)
-    each, asked = doc_terms(docs, id_col, text_col), query_terms(queries)
-    found = each.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    # a document's length goes along with its terms, so the documents are read for them and for the totals only
-    held = found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    return _best(_scores(held, _totals(each), asked), k)
+    asked = query_terms(queries, "qid", "query", segment)
+    wanted = asked.select("term").unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    with scratch(docs.sparkSession) as keep:
+        each = doc_terms(docs, id_col, text_col, segment)
+        found = each.select("doc_id", "dl", F.explode(F.array_append("terms", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
+        held = cut(found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")))
+        totals = held.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+        return keep(cut(_best(_scores(held.where("term <> ''"), totals, asked), k)))
 
 
 def _checked(df: DataFrame, key: str, dim: int, name: str) -> DataFrame:
@@ -96,44 +107,79 @@ def _checked(df: DataFrame, key: str, dim: int, name: str) -> DataFrame:
     return df.select(key, F.when(vectors.valid(v, dim), v).otherwise(F.raise_error(F.lit(f"embedding must have {dim} finite numbers"))).alias(name))
 
 
-def knn_topk(base: DataFrame, queries: DataFrame, dim: int, k: int | None = SOURCE_TOP_K) -> DataFrame:
-    """(qid, doc_id, distance, vec_rank): exact nearest by Euclidean distance. base has (doc_id, embedding), queries
-    (qid, embedding); a vector of another length than dim or with a number that isn't finite is an error."""
-    positive("k", k)
-    pairs = _checked(base, "doc_id", dim, "_v").crossJoin(_checked(queries, "qid", dim, "_q"))
-    scored = pairs.select("qid", "doc_id", vectors.l2(F.col("_v"), F.col("_q")).alias("distance"))
-    return top(scored, ["qid"], [F.round("distance", 9), F.col("doc_id")], "vec_rank", k)
+def _matrix(vs: pd.Series, dim: int) -> np.ndarray:
+    return np.array(vs.tolist(), np.float64).reshape(len(vs), dim)
+
+
+def _blocks(base: DataFrame, queries: DataFrame, dim: int, name: str, block_bytes: int, some: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """(qid, doc_id, name) that some(queries, base rows) picks, as places of both and a number, of each block of
+    queries and each batch of base. Queries come in blocks of about block_bytes, each a pass over base, so neither
+    the driver nor a task holds more of them, however many there are."""
+    asked = _checked(queries, "qid", dim, "e")
+    n = max(1, math.ceil(queries.count() * dim * 8 / block_bytes))
+    kinds = {c: df.select(c).schema[0].dataType.simpleString() for df, c in ((queries, "qid"), (base, "doc_id"))}
 
+    def block(i: int) -> DataFrame:
+        held = (asked if n == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)).toPandas()
+        ids, q = held["qid"].to_numpy(), _matrix(held["e"], dim)
 
-def knn_blocks(base: DataFrame, queries: DataFrame, dim: int, k: int = SOURCE_TOP_K, most_bytes: int = 32 << 20) -> DataFrame:
-    """knn_topk() by matrix products in Arrow batches, each batch keeping what may be among the best k of each query,
-    ties included; for query sets whose counted vectors fit in most_bytes, larger ones go through knn_topk()."""
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if not len(pdf):
+                    continue
+                x, doc = _matrix(pdf["embedding"], dim), pdf["doc_id"].to_numpy()
+                step = max(1, QUERY_CELLS // len(x))
+                for at in range(0, len(q), step):
+                    row, best, value = some(q[at : at + step], x)
+                    yield pd.DataFrame({"qid": ids[at + row], "doc_id": doc[best], name: value})
+
+        return _checked(base, "doc_id", dim, "embedding").mapInPandas(run, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, {name} double")
+
+    return reduce(DataFrame.unionByName, map(block, range(n)))
+
+
+def knn_topk(base: DataFrame, queries: DataFrame, dim: int, k: int | None = SOURCE_TOP_K, block_bytes: int = 32 << 20) -> DataFrame:
+    """(qid, doc_id, distance, vec_rank): exact nearest by Euclidean distance, by matrix products in Arrow batches, each
+    keeping what may be among the best k of each query, ties included; the least doc_id goes first of equal distances.
+    base has (doc_id, embedding), queries (qid, embedding); a vector of another length than dim or with a number that
+    isn't finite is an error. k None gives all."""
     positive("k", k)
-    if queries.count() * dim * 8 > most_bytes:
-        return knn_topk(base, queries, dim, k)
-    asked = _checked(queries, "qid", dim, "e").toPandas()
-    ids, q = asked["qid"].to_numpy(), np.array(asked["e"].tolist(), np.float64).reshape(-1, dim)
     eps = 4 * (dim + 4) * np.finfo(np.float64).eps
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            x, doc = np.array(pdf["embedding"].tolist(), np.float64).reshape(len(pdf), dim), pdf["doc_id"].to_numpy()
-            xx, step = (x * x).sum(1), max(1, QUERY_CELLS // len(x))
-            for i in range(0, len(q), step):
-                some = q[i : i + step]
-                qq = (some * some).sum(1)
-                d2 = qq[:, None] + xx[None] - 2 * some @ x.T
-                # all within the k-th place's rounding: of the squares' sums, and of the 9 digits that ties go by
-                off = eps * (qq + xx.max())
-                kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(some), np.inf)
-                most = (np.sqrt(np.maximum(kth + off, 0)) + 1e-9) ** 2 + off
-                row, best = np.nonzero(d2 <= most[:, None])
-                yield pd.DataFrame({"qid": ids[i + row], "doc_id": doc[best], "distance": np.sqrt(((x[best] - some[row]) ** 2).sum(1))})
-
-    near = _checked(base, "doc_id", dim, "embedding").mapInPandas(run, "qid long, doc_id long, distance double")
-    return top(near, ["qid"], [F.round("distance", 9), F.col("doc_id")], "vec_rank", k)
+    def near(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        qq, xx = (q * q).sum(1), (x * x).sum(1)
+        d2 = qq[:, None] + xx[None] - 2 * q @ x.T
+        # all within the k-th place's rounding: of the squares' sums, and of the 9 digits that ties go by
+        off = eps * (qq + xx.max())
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if k is not None and len(x) > k else np.full(len(q), np.inf)
+        most = (np.sqrt(np.maximum(kth + off, 0)) + 1e-9) ** 2 + off
+        row, best = np.nonzero(d2 <= most[:, None])
+        return row, best, np.sqrt(((x[best] - q[row]) ** 2).sum(1))
+
+    return top(_blocks(base, queries, dim, "distance", block_bytes, near), ["qid"], [F.round("distance", 9), F.col("doc_id")], "vec_rank", k)
+
+
+def cosines(base: DataFrame, queries: DataFrame, dim: int, block_bytes: int = 32 << 20) -> DataFrame:
+    """(qid, doc_id, cosine) of each query with each vector of base; 0 with a vector of zeros. Faults as in knn_topk()."""
+
+    def every(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        unit = [np.divide(v, n, out=np.zeros_like(v), where=n > 0) for v in (q, x) for n in [np.linalg.norm(v, axis=1, keepdims=True)]]
+        row, best = np.divmod(np.arange(len(q) * len(x)), len(x))
+        return row, best, (unit[0] @ unit[1].T).ravel()
+
+    return _blocks(base, queries, dim, "cosine", block_bytes, every)
+
+
+def mean_cosines(df: DataFrame, id_col: str, by: str, vector_col: str) -> DataFrame:
+    """(id_col, mean_cosine): of each vector with the others in its group by, null where there are none; 0 with a
+    vector of zeros. The product with the sum of all unit vectors of the group, which is added up before rows move."""
+    v = vectors.doubles(vector_col)
+    norm = F.sqrt(vectors.dot(v, v))
+    unit = df.select(id_col, by, F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0))).alias("_u"))
+    sums = unit.select(by, F.posexplode("_u").alias("_at", "_x")).groupBy(by, "_at").agg(F.sum("_x").alias("_x"))
+    groups = sums.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda x: x["_x"]).alias("_sum")).join(unit.groupBy(by).agg(F.count("*").alias("_n")), by)
+    total = vectors.dot(F.col("_u"), F.col("_sum")) - vectors.dot(F.col("_u"), F.col("_u"))
+    return unit.join(groups, by).select(id_col, F.try_divide(total, F.col("_n") - 1).alias("mean_cosine"))
 
 
 def rrf_fuse(ranked: DataFrame, sources: int, k: int = RRF_K, top_k: int | None = None) -> DataFrame:
@@ -217,6 +263,15 @@ def model_logits(hits: DataFrame, scorer: Callable[[list[tuple[str, str]]], list
     return hits.withColumn("logit", logits("query", "content"))
 
 
+def answers(hits: DataFrame, queries: DataFrame, docs: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]], k: int = RERANK_TOP_K) -> DataFrame:
+    """From hybrid() hits to what an evaluation takes: the best max(2 * k, 10) of each query (qid, query) with their
+    content from docs (doc_id, source, content, ...) are reranked by the scorer, and the best k adapted()."""
+    positive("k", k)
+    near = hits.where(F.col("position") <= max(2 * k, 10))
+    held = near.join(queries.select("qid", "query"), "qid").join(docs.select("doc_id", "content"), "doc_id")
+    return adapted(reranked(model_logits(held, scorer), F.col("logit"), k).drop("content"), docs)
+
+
 def with_confidence(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, hits, confidence): high for queries with hits, low for those without."""
     n = hits.groupBy("qid").agg(F.count("*").alias("hits"))

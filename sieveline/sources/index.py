@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from dataclasses import dataclass
@@ -15,6 +16,9 @@ from ..functions.text import is_blank
 from ..operators import search
 
 DIM, MOST_DIM = 1024, 65535
+MANIFEST = re.compile(r"manifest-([0-9]{12})\.json")
+#: Manifests that stay, the one in force among them.
+KEPT = 10
 DOCS = "doc_id long, content string, source string, page int, section string, indexed_at timestamp"
 TABLES = {"docs": DOCS, "postings": "term string, doc_id long, tf long", "doc_stats": "doc_id long, dl int", "vectors": "doc_id long, embedding array<float>"}
 #: Meta values that are set once; another value for a set one is an error.
@@ -48,43 +52,60 @@ class _Folder:
         finally:
             stream.close()
 
+    def names(self) -> list[str]:
+        return [f.getPath().getName() for f in self.fs.listStatus(self.at(""))] if self.fs.exists(self.at("")) else []
+
     def write(self, name: str, text: str) -> None:
-        """Written aside, then moved there, so a reader sees the old text or the new one."""
+        """Written aside, then moved to a name that nothing has, so a reader sees the whole file or none."""
         aside = self.at(f".{name}.{uuid.uuid4().hex}")
         stream = self.fs.create(aside, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        self.fs.delete(self.at(name), False)
-        if not self.fs.rename(aside, self.at(name)):
-            raise OSError(f"can't write {name} in {self.path}")
+        if self.fs.exists(self.at(name)) or not self.fs.rename(aside, self.at(name)):
+            self.fs.delete(aside, False)
+            raise OSError(f"{name} in {self.path} is there already: another writer was faster")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+
+def _manifests(folder: _Folder) -> list[str]:
+    """The manifests of a folder, the newest first."""
+    return sorted((n for n in folder.names() if MANIFEST.fullmatch(n)), reverse=True)
 
 
 @dataclass
 class Index:
-    """A handle on an index folder. One writer at a time; readers keep the version that they opened."""
+    """A handle on an index folder. Each change writes a manifest of the next number, and the greatest number counts:
+    a change that breaks off before leaves the one before in force, and of two writers at a time one fails. Readers
+    keep the version that they opened; KEPT manifests stay."""
 
     spark: SparkSession
     path: str
     readonly: bool
     manifest: dict
     closed: bool = False
+    at: int = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, dim: int | None = None, readonly: bool = False, version: str | None = None) -> Index:
         """Opens or, unless readonly, creates the index. Another dim than the stored one is an error."""
         if dim is not None and (isinstance(dim, bool) or not isinstance(dim, int) or not 1 <= dim <= MOST_DIM):
             raise ValueError(f"dim must be a whole number from 1 to {MOST_DIM}")
-        raw = _Folder(spark, path).read("manifest.json")
-        if raw is None:
+        folder = _Folder(spark, path)
+        known = _manifests(folder)
+        if not known:
             if readonly:
-                raise FileNotFoundError(f"{path} is no index: manifest.json is missing")
+                raise FileNotFoundError(f"{path} is no index: it has no manifest")
+            if any(n.startswith(tuple(f"{t}-" for t in TABLES)) for n in folder.names()):
+                raise ValueError(f"{path} has parts of an index but no manifest; it isn't made anew over them")
             meta = {"index_version": version or f"v1-{_base36(int(time.time() * 1000))}", "embedding_dim": str(dim or DIM), **dict.fromkeys(GUARDED, "")}
             index = cls(spark, path, False, {"meta": meta, "parts": {t: [] for t in TABLES}, "next_id": 1})
             index._save()
             return index
-        manifest = json.loads(raw)
+        manifest = json.loads(folder.read(known[0]))
         missing = [t for t in TABLES if t not in manifest.get("parts", {})]
         if missing:
             raise ValueError(f"{path} lacks {', '.join(missing)}")
@@ -93,10 +114,16 @@ class Index:
             raise ValueError(f"the stored embedding_dim {stored!r} is corrupt")
         if dim is not None and dim != int(stored):
             raise ValueError(f"the index has vectors of {stored} numbers, not {dim}")
-        return cls(spark, path, readonly, manifest)
+        return cls(spark, path, readonly, manifest, at=int(MANIFEST.fullmatch(known[0])[1]))
 
-    def _save(self) -> None:
-        _Folder(self.spark, self.path).write("manifest.json", json.dumps(self.manifest))
+    def _save(self, **changes) -> None:
+        """The manifest with changes, in force and in hand once its file is there."""
+        after = {**self.manifest, **changes}
+        folder = _Folder(self.spark, self.path)
+        folder.write(f"manifest-{self.at + 1:012d}.json", json.dumps(after))
+        self.manifest, self.at = after, self.at + 1
+        for old in _manifests(folder)[KEPT:]:
+            folder.delete(old)
 
     def _writable(self) -> None:
         if self.closed or self.readonly:
@@ -120,8 +147,7 @@ class Index:
         held = self.manifest["meta"].get(key, "")
         if held and held != value:
             raise ValueError(f"{key} is {held!r} already, not {value!r}")
-        self.manifest["meta"][key] = value
-        self._save()
+        self._save(meta={**self.manifest["meta"], key: value})
 
     def table(self, name: str) -> DataFrame:
         parts = [f"{self.path}/{p}" for p in self.manifest["parts"][name]]
@@ -164,16 +190,41 @@ class Index:
         each = search.doc_terms(rows, "doc_id", "content")
         tf = search.postings(rows, "doc_id", "content")
         out = {"docs": rows.select("doc_id", "content", "source", "page", "section", "indexed_at"), "doc_stats": each.select("doc_id", "dl"), "vectors": rows.select("doc_id", "embedding"), "postings": tf.repartition("term").sortWithinPartitions("term", "doc_id")}
-        for name, df in out.items():
-            df.write.parquet(f"{self.path}/{name}-{batch}")
         folder = _Folder(self.spark, self.path)
-        folder.fs.delete(folder.at(f"staged-{batch}"), True)
-        for name in out:
-            self.manifest["parts"][name].append(f"{name}-{batch}")
-        self.manifest["next_id"] = first + bad["n"]
-        self._save()
+        try:
+            for name, df in out.items():
+                df.write.parquet(f"{self.path}/{name}-{batch}")
+        except BaseException:
+            for name in out:
+                folder.delete(f"{name}-{batch}")
+            raise
+        finally:
+            folder.delete(f"staged-{batch}")
+        self._save(parts={t: [*held, f"{t}-{batch}"] for t, held in self.manifest["parts"].items()}, next_id=first + bad["n"])
         return {"inserted": bad["n"], "duration_ms": (time.time() - began) * 1000}
 
+    def compact(self) -> None:
+        """Rewrites the parts of all batches as one of each table, postings sorted by term; old parts stay until
+        clean(), so readers of the version before go on."""
+        self._writable()
+        batch, sort = uuid.uuid4().hex, {"postings": ["term", "doc_id"]}
+        for name in TABLES:
+            df = self.table(name)
+            df = df.repartition(sort[name][0]).sortWithinPartitions(*sort[name]) if name in sort else df
+            df.write.parquet(f"{self.path}/{name}-{batch}")
+        self._save(parts={t: [f"{t}-{batch}"] for t in TABLES})
+
+    def clean(self) -> list[str]:
+        """Deletes and names the parts that no kept manifest has: of batches that broke off, and from before
+        compact() once KEPT changes have followed."""
+        self._writable()
+        folder = _Folder(self.spark, self.path)
+        used = {p for m in _manifests(folder) for parts in json.loads(folder.read(m))["parts"].values() for p in parts}
+        gone = [n for n in folder.names() if n.startswith(("staged-", *(f"{t}-" for t in TABLES))) and n not in used]
+        for n in gone:
+            folder.delete(n)
+        return gone
+
     def fts_search(self, queries: DataFrame, k: int = search.SOURCE_TOP_K) -> DataFrame:
         return search.bm25_topk(self.table("postings"), self.table("doc_stats"), queries, k)
 

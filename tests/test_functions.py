@@ -15,7 +15,7 @@ def column(spark, values, expr, kind="string"):
 
 
 def test_terms_fold_case_and_accents(spark):
-    assert column(spark, ["Élan naïve ÑU", "ß œ ø", "a-b_c 12", "", None, "试用期 ok"], text.terms) == [["elan", "naive", "nu"], ["ß", "œ", "ø"], ["a", "b", "c", "12"], [], None, ["试用期", "ok"]]
+    assert column(spark, ["Élan naïve ÑU", "ß œ ø", "a-b_c 12", "", None, "试用期 ok"], text.terms) == [["elan", "naive", "nu"], ["ß", "œ", "ø"], ["a", "b", "c", "12"], [], None, ["试用", "用期", "ok"]]
 
 
 def test_fence_token_equals_its_python_counterpart(spark):

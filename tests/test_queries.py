@@ -46,7 +46,7 @@ def test_rows(spark, tables, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
 
 
-@pytest.mark.parametrize("name", ["knn_all_topk", "cosine_all_pairs", "answer_relevance_all"])
+@pytest.mark.parametrize("name", ["label_relevance"])
 def test_every_vector_is_a_query(spark, name):
     ids = {r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()}
     assert {r["qid"] for r in catalogue.queries()[name](spark, DATA).select("qid").distinct().collect()} == ids

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -51,32 +52,60 @@ def test_bm25_by_hand(spark):
 def test_top_k_is_limited_before_the_sort(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "a")], "qid long, query string")
-    plan = search.bm25_documents(docs, queries, 5)._jdf.queryExecution().toString()
+    plan = search.bm25_topk(search.postings(docs), search.doc_terms(docs), queries, 5)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
 
 
 def test_knn_ties_zero_vectors_and_faults(spark):
     base = spark.createDataFrame([(3, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0])], "doc_id long, embedding array<float>")
     q = spark.createDataFrame([(1, [0.0, 0.0])], "qid long, embedding array<float>")
-    for f in (search.knn_topk, search.knn_blocks):
-        assert [(r["doc_id"], r["vec_rank"]) for r in f(base, q, 2, 3).orderBy("vec_rank").collect()] == [(2, 1), (1, 2), (3, 3)]
+    for k in (3, None):
+        assert [(r["doc_id"], r["vec_rank"]) for r in search.knn_topk(base, q, 2, k).orderBy("vec_rank").collect()] == [(2, 1), (1, 2), (3, 3)]
+    assert [r["cosine"] for r in search.cosines(base, q, 2).collect()] == [0, 0, 0]
     with pytest.raises(Exception, match="finite"):
         search.knn_topk(base, q.select("qid", F.array(F.lit(1.0)).alias("embedding")), 2, 1).collect()
     with pytest.raises(ValueError):
         search.knn_topk(base, q, 2, 0)
 
 
-def test_knn_blocks_keep_all_ties(spark):
-    """50 equal vectors, the least ids last: any k of them won't do, and a batch's size changes nothing."""
+def test_knn_keeps_all_ties_in_any_blocks(spark):
+    """50 equal vectors, the least ids last: any k of them won't do; neither a batch's nor a block's size changes
+    anything."""
     rows = [(100 - i, [1.0, 2.0]) for i in range(50)] + [(200 + i, [9.0, float(i)]) for i in range(20)]
     base = spark.createDataFrame(rows, "doc_id long, embedding array<float>").coalesce(1)
-    q = spark.createDataFrame([(1, [0.1, 0.2]), (2, [1.0, 2.0])], "qid long, embedding array<float>")
-    want = sorted(map(tuple, search.knn_topk(base, q, 2, 3).select("qid", "doc_id", "vec_rank").collect()))
-    assert [d for _, d, _ in want] == [51, 52, 53] * 2
-    for b in (base, base.repartition(5)):
-        assert sorted(map(tuple, search.knn_blocks(b, q, 2, 3).select("qid", "doc_id", "vec_rank").collect())) == want
+    q = spark.createDataFrame([(1, [0.1, 0.2]), (2, [1.0, 2.0]), (3, [9.0, 3.2])], "qid long, embedding array<float>")
+    want = [(i, d, r) for i, ds in ((1, (51, 52, 53)), (2, (51, 52, 53)), (3, (203, 204, 202))) for r, d in enumerate(ds, 1)]
+    for b, block in ((base, 32 << 20), (base.repartition(5), 32 << 20), (base, 16)):
+        assert sorted(map(tuple, search.knn_topk(b, q, 2, 3, block).select("qid", "doc_id", "vec_rank").collect()), key=lambda r: (r[0], r[2])) == want
     with pytest.raises(Exception, match="finite"):
-        search.knn_blocks(base, q.select("qid", F.array(F.lit(1.0), F.lit(None)).alias("embedding")), 2, 1).collect()
+        search.knn_topk(base, q.select("qid", F.array(F.lit(1.0), F.lit(None)).alias("embedding")), 2, 1).collect()
+
+
+def test_mean_cosines_equal_all_pairs(spark):
+    rng = random.Random(1)
+    rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)] + [(30, 9, [1.0, 0.0, 0.0, 0.0]), (31, 0, [0.0] * 4)]
+    got = {r["v"]: r["mean_cosine"] for r in search.mean_cosines(spark.createDataFrame(rows, "v long, g int, e array<double>"), "v", "g", "e").collect()}
+
+    def cos(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    for i, g, e in rows:
+        others = [cos(e, f) for j, h, f in rows if h == g and j != i]
+        assert got[i] is None if not others else abs(got[i] - sum(others) / len(others)) < 1e-9
+
+
+def test_documents_are_read_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x" if i else None) for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w1 w2 w2"), (2, "x")], "qid long, query string")
+    path = str(tmp_path / "d")
+    docs.write.parquet(path)
+    got = search.bm25_documents(spark.read.parquet(path), queries, None)
+    assert path not in got._jdf.queryExecution().toString(), "the result stands on its own"
+    want = search.bm25_topk(search.postings(docs), search.doc_terms(docs), queries, None)
+    key = lambda df: sorted((r["qid"], r["doc_id"], r["bm25_rank"], round(r["bm25_score"], 9)) for r in df.collect())
+    assert key(got) == key(want)
+    assert search.bm25_documents(docs.limit(0), queries).count() == 0 and search.bm25_documents(docs, queries.limit(0)).count() == 0
 
 
 def test_hybrid_needs_a_query_and_keeps_per_source_columns(spark):

@@ -53,14 +53,44 @@ def test_index_meta_rules(spark, tmp_path):
     with pytest.raises(ValueError, match="vectors of 4"):
         Index.open(spark, path, dim=8)
     assert Index.open(spark, path).version == index.version
-    manifest = tmp_path / "ix" / "manifest.json"
+    manifest = max((tmp_path / "ix").glob("manifest-*.json"))
     state = json.loads(manifest.read_text())
     manifest.write_text(json.dumps({**state, "meta": {**state["meta"], "embedding_dim": "x"}}))
-    (tmp_path / "ix" / ".manifest.json.crc").unlink(missing_ok=True)
+    (tmp_path / "ix" / f".{manifest.name}.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError, match="corrupt"):
         Index.open(spark, path)
 
 
+def test_a_broken_change_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    from sieveline.sources import index as module
+
+    path = str(tmp_path / "ix")
+    index = Index.open(spark, path, dim=2)
+    index.append(rows(spark, 3), ["page"])
+
+    def killed(self, name, text):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(module._Folder, "write", killed)
+        with pytest.raises(KeyboardInterrupt):
+            index.append(rows(spark, 2), ["page"])
+    again = Index.open(spark, path)
+    assert again.table("docs").count() == 3 and index.table("docs").count() == 3
+    stale = Index.open(spark, path)
+    assert again.append(rows(spark, 2), ["page"])["inserted"] == 2
+    with pytest.raises(OSError, match="another writer"):
+        stale.append(rows(spark, 1), ["page"])
+    assert sorted(r["doc_id"] for r in Index.open(spark, path).table("docs").collect()) == [1, 2, 3, 4, 5]
+    assert len(again.clean()) >= 4 and again.table("docs").count() == 5
+    again.compact()
+    assert len(again.manifest["parts"]["docs"]) == 1 and Index.open(spark, path, readonly=True).table("postings").count() == 15
+    for f in (tmp_path / "ix").glob("manifest-*.json"):
+        f.unlink()
+    with pytest.raises(ValueError, match="made anew"):
+        Index.open(spark, path)
+
+
 EVAL = """
 version: "1"
 queries:
