@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokenpack
-from .common import cut, id_type
+from .common import cut, id_type, small
 
 #: Units, with what they carry, in a partition of the shuffle that brings shards together.
 PARTITION_UNITS = 1 << 26
@@ -97,12 +97,17 @@ def _pack(p: Packing):
 
 
 def _packed(sized: DataFrame, p: Packing, total: int, bits: int = 0) -> DataFrame:
-    """sized has (id, text hash h, units and, if there are bits of each unit, these one after the other as data)."""
+    """sized has (id, hash g of id and text, units and, if there are bits of each unit, these one after the other as
+    data). Only rows that share their g move in order to be numbered."""
     data = bits > 0
-    copy = F.row_number().over(Window.partitionBy("id", "h").orderBy("units")).alias("copy_no")
     names = [F.col("data")] if data else []
-    numbered = sized.where("units > 0").select("id", "h", "units", copy, *names)
-    order = F.xxhash64(F.lit(p.seed), "id", "h", "copy_no").alias("order")
+    sized = sized.where("units > 0")
+    again = cut(sized.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
+    again = small(again, again.count(), 16)
+    copy = F.row_number().over(Window.partitionBy("g").orderBy("id", "units")).alias("copy_no")
+    numbered = sized.join(again, "g", "left_anti").select("id", "g", "units", F.lit(1).alias("copy_no"), *names)
+    numbered = numbered.unionByName(sized.join(again, "g", "left_semi").select("id", "g", "units", copy, *names))
+    order = F.xxhash64(F.lit(p.seed), "g", "copy_no").alias("order")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1, F.lit(p.capacity).cast("long"))).alias("start")
     shards = max(1, math.ceil(total / p.shard_units))
     pieces = numbered.select("id", "copy_no", "units", order, starts, *names)
@@ -110,7 +115,8 @@ def _packed(sized: DataFrame, p: Packing, total: int, bits: int = 0) -> DataFram
     ids = [F.substring(F.col("data"), (F.col("start") * bits / 8).cast("int") + 1, F.ceil(length * bits / 8).cast("int")).alias("ids")] if data else []
     pieces = pieces.select(F.pmod("order", F.lit(shards)).cast("long").alias("shard"), "order", "id", "copy_no", "start", length.alias("length"), *ids)
     n = max(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_UNITS))
-    pieces = pieces.repartition(min(n, shards), "shard").sortWithinPartitions("shard", "order", "id", "copy_no", "start").drop("order")
+    n = min(n, shards)
+    pieces = pieces.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard", "order", "id", "copy_no", "start").drop("order")
     kind = id_type(pieces, "id")
     return pieces.mapInArrow(_pack(p), f"bin_id long, bin_start long, id {kind}, copy_no int, start long, length long" + ", ids binary" * data)
 
@@ -126,7 +132,7 @@ def packed(docs: DataFrame, p: Packing = Packing(), units: Column | None = None,
     """
     text = F.col(f"`{text_col}`").cast("string")
     units = F.coalesce(units.cast("long"), F.lit(0)) if units is not None else F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), units.cast("long").alias("units"))
+    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("g"), units.cast("long").alias("units"))
     return _packed(sized, p, sized.agg(F.sum("units")).first()[0] or 0).withColumnRenamed("id", id_col)
 
 
@@ -137,5 +143,5 @@ def packed_ids(docs: DataFrame, p: Packing = Packing(), tokenizer: str = tokenpa
     if p.capacity % 8:
         raise ValueError("capacity must be a multiple of 8")
     whole = tokenpack.packed_tokens(docs, tokenizer, vocabulary, 1 << 30, id_col, text_col, end)
-    sized = cut(whole.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64("packed").alias("h"), F.col("n_tokens").alias("units"), F.col("packed").alias("data")))
+    sized = cut(whole.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), "packed").alias("g"), F.col("n_tokens").alias("units"), F.col("packed").alias("data")))
     return _packed(sized, p, sized.agg(F.sum("units")).first()[0] or 0, tokenpack.width(vocabulary)).withColumnRenamed("id", id_col)
