@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from .common import cut, id_type, scratch
 from .grouping import components, links
 
 
+#: Codes that are compared in the time of one lookup.
+PROBE = 20
+
+
 @dataclass(frozen=True)
 class Quantiser:
     """Codes of at most `bits` bits, learned in `rounds` rounds from at most train_rows vectors, those of least hash,
@@ -89,14 +94,7 @@ def _encode(codes: list[Code]):
     return run
 
 
-def tables(bits: int, rows: int, radius: int) -> list[tuple[int, int, list[int]]]:
-    """(shift, mask, flips) of the parts of the code that need a table: about log2(rows) bits each, but 3 parts at
-    least, as a lookup costs more than the few dozen codes that it finds.
-
-    If codes differ in at most radius = parts * s + a bits, then one of the first a + 1 parts differs in at most s
-    bits or one of the others in at most s - 1, so by one of its flips; with s = 0 the others need no table.
-    """
-    parts = min(bits, max(3, round(bits / max(1.0, math.log2(max(2, rows))))))
+def _layout(bits: int, parts: int, radius: int) -> list[tuple[int, int, list[int]]]:
     s, a = divmod(radius, parts)
     out, at = [], 0
     for k in range(parts):
@@ -108,6 +106,21 @@ def tables(bits: int, rows: int, radius: int) -> list[tuple[int, int, list[int]]
     return out
 
 
+def tables(bits: int, rows: int, radius: int) -> list[tuple[int, int, list[int]]]:
+    """(shift, mask, flips) of the parts of the code that need a table.
+
+    If codes differ in at most radius = parts * s + a bits, then one of the first a + 1 parts differs in at most s
+    bits or one of the others in at most s - 1, so by one of its flips; with s = 0 the others need no table. Of 3 to 8
+    parts those are taken that cost least, where a lookup, which is a row to shuffle, costs as much as the comparison
+    of PROBE of the rows / 2^size codes that it finds.
+    """
+
+    def cost(layout: list[tuple[int, int, list[int]]]) -> float:
+        return sum(len(flips) * (1 + rows / (mask + 1) / PROBE) for _, mask, flips in layout)
+
+    return min((_layout(bits, parts, radius) for parts in range(min(3, bits), min(8, bits) + 1)), key=cost)
+
+
 def _part(code: Column, at: int, mask: int) -> Column:
     return F.shiftrightunsigned(code, at).bitwiseAND(F.lit(mask).cast("long"))
 
@@ -120,24 +133,49 @@ def _probes(k: int, t: int, at: int, mask: int, flips: list[int]) -> Column:
     return F.transform(F.lit(flips).cast("array<long>"), lambda f: _entry(k, t, _part(F.col("codes")[k], at, mask).bitwiseXOR(f)))
 
 
+def _unit(d: int):
+    """Unit vectors of the rows that have d finite numbers, not all 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            flat = v.flatten()
+            whole = np.flatnonzero(np.fromiter((x is not None and x == d for x in pc.list_value_length(v).to_pylist()), bool, len(v)))
+            rows = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+            starts = np.concatenate([[0], np.cumsum([x or 0 for x in pc.list_value_length(v).to_pylist()])]).astype(np.int64)[whole]
+            x = rows[starts[:, None] + np.arange(d)]
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = np.sqrt((x * x).sum(axis=1))
+            # a null is a nan here
+            good = np.isfinite(norm) & (norm > 0)
+            ids = batch.column("id").take(pa.array(whole[good]))
+            out = (x[good] / norm[good, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * d), pa.array(out.ravel()))], ["id", "v"])
+
+    return run
+
+
 def prepared(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): unit vectors. Rows of null id, a null or empty vector, one with nulls or numbers that aren't finite,
     one of norm 0, or one of another length than most vectors (of equally frequent ones the longer) are left out."""
-    v = F.col(f"`{vector_col}`").cast("array<double>")
-    ok = "id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), v.alias("v")).where(ok)
-    rows = rows.withColumn("norm", F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))")).where("norm > 0 and norm < double('infinity')")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (length["d"] if length else 0)).select("id", F.expr("transform(v, x -> x / norm)").alias("v"))
+    return rows.mapInArrow(_unit(length["d"] if length else 0), f"id {id_type(df, id_col)}, v array<float>")
 
 
 def _alike(rows: DataFrame, threshold: float):
     """A function that keeps, of pairs (a, b), those whose vectors have a cosine of at least threshold."""
-    cosine = F.expr("aggregate(zip_with(x, y, (p, q) -> p * q), 0D, (s, z) -> s + z)")
+    kind = id_type(rows, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                near = pa.array((matrix(batch.column("x")) * matrix(batch.column("y"))).sum(axis=1) >= threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
     def keep(pairs: DataFrame) -> DataFrame:
         both = pairs.join(rows.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
-        return both.where(cosine >= threshold).select("a", "b").distinct()
+        return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
     return keep
 
