@@ -70,14 +70,13 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, factors: np.ndarray) -> n
     return out
 
 
-def table_keys(sig: np.ndarray, groups: int, rows: int) -> np.ndarray:
-    """groups^2 keys of each text: each pair of a group of the first collection and one of the second."""
+def group_keys(sig: np.ndarray, groups: int, rows: int) -> np.ndarray:
+    """A key for each group of either collection of each text, the group's place in it."""
     g = sig.reshape(len(sig), 2 * groups, rows)
-    h = np.zeros(g.shape[:2], U)
+    h = np.arange(2 * groups, dtype=U)[None].repeat(len(sig), axis=0)
     for k in range(rows):
         h = mix(h * U(0x9E3779B97F4A7C15) + g[:, :, k] + U(1))
-    table = np.arange(groups * groups, dtype=U).reshape(groups, groups)
-    return mix(h[:, :groups, None] * U(3) + h[:, None, groups:] * U(5) + table * U(0xD1342543DE82EF95)).reshape(len(sig), -1)
+    return h
 
 
 def _sketch(p: MinHash):
@@ -89,7 +88,7 @@ def _sketch(p: MinHash):
             has = counts > 0
             if not has.any():
                 continue
-            keys = table_keys(signatures(hashes, counts, factors), p.groups, p.rows)
+            keys = group_keys(signatures(hashes, counts, factors), p.groups, p.rows)
             ids = batch.column("id").filter(pa.array(has))
             yield pa.RecordBatch.from_arrays([ids, as_long(whole[has, 0]), as_long(whole[has, 1]), lists(as_long(keys.ravel()), np.full(len(keys), keys.shape[1]))], ["id", "whole", "whole2", "keys"])
 
@@ -152,6 +151,17 @@ def verify_with(rows: DataFrame, p: MinHash):
     return verify
 
 
+def tables(sketches: DataFrame, groups: int) -> DataFrame:
+    """(key, id): for each document (id, keys) its entries in the groups^2 tables, whose keys combine one of each
+    collection, but for entries that no other document can share. Who shares a table's key shares both halves, so the
+    halves, which are few, are counted first, and only those of several documents are combined."""
+    halves = sketches.select("id", F.posexplode("keys").alias("at", "half"))
+    shared = cut(halves.groupBy("half").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least <> last").select("half"))
+    live = halves.join(small(shared, shared.count(), 16), "half").groupBy("id").agg(F.collect_set(F.when(F.col("at") < groups, F.col("half"))).alias("first"), F.collect_set(F.when(F.col("at") >= groups, F.col("half"))).alias("second"))
+    live = cut(live.where("size(first) > 0 and size(second) > 0"))
+    return live.select("id", "second", F.explode("first").alias("a")).select("id", "a", F.explode("second").alias("b")).select(F.xxhash64("a", "b").alias("key"), "id")
+
+
 def duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, duplicate_of, links) for each document that is a near copy of a kept one, the least id of its group.
 
@@ -168,7 +178,7 @@ def duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id",
         same = cut(sketches.groupBy("whole", "whole2").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last"))
         exact = cut(sketches.select("whole", "whole2", F.col("id").alias("b")).join(small(same, same.count(), 32), ["whole", "whole2"]).where("a <> b").select("a", "b"))
         first = small(exact.select(F.col("b").alias("id")).distinct(), exact.count(), 16)
-        buckets = sketches.join(first, "id", "left_anti").select(F.explode("keys").alias("key"), "id")
+        buckets = tables(sketches.join(first, "id", "left_anti"), p.groups)
         edges = exact.unionByName(verified_edges(buckets, verify_with(rows, p)))
         found = keep(cut(components(edges).where("id <> root").join(links(edges), "id").select(F.col("id").alias(id_col), F.col("root").alias("duplicate_of"), "links")))
     return found
