@@ -47,6 +47,51 @@ def test_counts_follow_the_inverted_distribution(spark):
     assert abs(chars["a"] / (1.5 * total) - 1) < 0.05 and abs(chars["b"] / (0.5 * total) - 1) < 0.1
 
 
+def test_tables_invert_the_distribution_at_any_rate():
+    import time
+
+    for rate in (1e-6, 0.3, 1.0, 7.5, 60.0):
+        first, cdf = mixing.poisson_table(rate)
+        term = total = math.exp(-rate)
+        want = [total]
+        for k in range(1, 20):
+            term *= rate / k
+            total += term
+            want.append(total)
+        assert first == 0 and np.allclose(cdf[:20], want, atol=1e-12)
+    began = time.time()
+    for rate in (1e4, 1e6, 1e9):
+        first, cdf = mixing.poisson_table(rate)
+        at = [first + int((cdf <= u).sum()) for u in (0.0227501, 0.5, 0.9772499)]
+        assert np.allclose(at, [rate - 2 * rate**0.5, rate, rate + 2 * rate**0.5], atol=0.01 * rate**0.5 + 2)
+        assert cdf[0] < 1e-12 and cdf[-1] == 1
+    assert time.time() - began < 2
+
+
+def test_rare_sources_come_as_often_as_asked(spark):
+    """A source of a millionth of the characters has a rate of half a million; more than MOST_RATE is refused."""
+    docs = spark.createDataFrame([(1, "x" * 1_000_000, "big"), (2, "y", "tiny")], DOCS)
+    n = mixing.replicated(docs).where("source = 'tiny'").count()
+    assert abs(n - 500_000.5) < 6 * 500_000**0.5
+    copies = mixing.replicated(docs).where("source = 'tiny'").agg(F.min("_copy"), F.max("_copy"), F.count_distinct("_copy")).first()
+    assert tuple(copies) == (1, n, n)
+    with pytest.raises(ValueError, match="times over"):
+        mixing.replicated(docs, {"tiny": 1.0}, 1e7)
+
+
+def test_names_with_dots_and_ids_that_are_texts(spark):
+    docs = spark.createDataFrame([("a-1", "x" * 30, "s", 1), ("b-2", "yy", "t", 2)], "`doc.id` string, `the.text` string, `the.source` string, `a.b` long")
+    out = mixing.mixed(docs, {"s": 1.0, "t": 1.0}, 50.0, id_col="doc.id", source_col="the.source", text_col="the.text")
+    assert out.columns == docs.columns and {r["doc.id"] for r in out.collect()} == {"a-1", "b-2"}
+    assert {r["doc.id"] for r in packing.packed(out, id_col="doc.id", text_col="the.text").collect()} == {"a-1", "b-2"}
+
+
+def test_partitions_follow_the_mixtures_size(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PARTITION_CHARS", 1000)
+    docs = spark.createDataFrame([(i, "x" * 100, "s") for i in range(200)], DOCS)
+    assert mixing.mixed(docs).rdd.getNumPartitions() == 20
+
+
 def test_order_is_global_and_independent_of_partitions(spark):
     docs = spark.createDataFrame([(i, "t", "s") for i in range(500)], DOCS)
     orders = [[r["doc_id"] for r in mixing.shuffled(mixing.replicated(docs.repartition(p)), p).collect()] for p in (1, 3, 7)]
@@ -116,6 +161,44 @@ def test_packing_covers_every_unit_once(spark):
     assert full > 0.9
 
 
+@pytest.mark.skipif(not os.path.exists(tokenpack.TOKENIZER), reason="no vocabulary here")
+def test_sequences_hold_the_ids_of_their_pieces(spark):
+    texts = ["Hello world", "", None, "naïve ñ 试用期", "w " * 700, "Hello world", "Hello world"]
+    docs = spark.createDataFrame([(i if i < 6 else 0, t, "s") for i, t in enumerate(texts)], DOCS).withColumns({"id": F.lit("x"), "data": F.lit(1), "units": F.lit("y"), "g": F.lit(2)})
+    enc = tokenpack.encoder(tokenpack.TOKENIZER)
+    for vocabulary, bits in ((50257, 16), (100_000, 17)):
+        out = packing.packed_ids(docs, packing.Packing(capacity=64, open_bins=4, shard_units=600), vocabulary=vocabulary).toPandas()
+        whole = {}
+        for r in out.sort_values("start").itertuples():
+            ids = tokenpack.unpack(r.ids, bits, r.length)
+            assert r.start == len(whole.setdefault((r.doc_id, r.copy_no), []))
+            whole[r.doc_id, r.copy_no] += ids.tolist()
+        assert all(ids[-1] == tokenpack.END and tokenpack.END not in ids[:-1] for ids in whole.values())
+        got = sorted(enc.decode(ids[:-1]) for ids in whole.values())
+        assert got == sorted(t or "" for t in texts) and {k for k in whole if k[0] == 0} == {(0, 1), (0, 2)}
+        for _, g in out.groupby("bin_id"):
+            g = g.sort_values("bin_start")
+            assert g["length"].sum() <= 64 and (g["bin_start"].to_numpy() == np.concatenate([[0], np.cumsum(g["length"])[:-1]])).all()
+    assert packing.packed_ids(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        packing.packed_ids(docs, packing.Packing(capacity=60))
+
+
+def test_shards_are_packed_one_by_one(spark):
+    """Each shard is an online run of its own in the order of the hashes, however many share a partition."""
+    docs = spark.createDataFrame([(i, "x" * (i % 37), "s") for i in range(400)], DOCS)
+    p = packing.Packing(capacity=100, open_bins=5, shard_units=1000)
+    out = packing.packed(docs, p).toPandas()
+    total = sum(i % 37 + 1 for i in range(400))
+    shards = math.ceil(total / 1000)
+    order = docs.select("doc_id", F.xxhash64(F.lit(p.seed), F.xxhash64("doc_id", "text"), F.lit(1)).alias("o")).collect()
+    for s in range(shards):
+        line = sorted((r["o"], r["doc_id"]) for r in order if r["o"] % shards == s)
+        places = naive([i % 37 + 1 for _, i in line], 100, 5)
+        want = sorted((i, (s << 32) + b, o) for (_, i), (b, o) in zip(line, places))
+        assert want == sorted(map(tuple, out[out.bin_id // 2**32 == s][["doc_id", "bin_id", "bin_start"]].to_numpy().tolist()))
+
+
 def test_copies_scatter_over_sequences(spark):
     """30 copies of one document among others don't follow one another."""
     docs = spark.createDataFrame([(i, "x" * 9, "s") for i in range(270)] + [(999, "y" * 9, "s")] * 30, DOCS)

@@ -4,10 +4,11 @@ import hashlib
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveline.llm import langid, minhash, packing, pii
+from sieveline.llm import langid, minhash, packing, pii, tokenpack
 from test_dedup import groups, shingle_set
 from test_mixing_packing import naive
 
@@ -60,21 +61,22 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     for r in now:
         chars[r[3]] = chars.get(r[3], 0) + len(r[1])
     rate = {s: sum(chars.values()) / len(chars) / c for s, c in chars.items()}
-    copies = [r for r in now for _ in range(poisson(42, r[0], rate[r[3]]))]
-    want = sorted((r[0], len(r[1].encode()) + 1) for r in copies)
+    copies = [(r, k) for r in now for k in range(1, poisson(42, r[0], rate[r[3]]) + 1)]
+    enc = tokenpack.encoder(tokenpack.TOKENIZER)
+    ids = {r[0]: [*enc.encode_ordinary(r[1]), tokenpack.END] for r in now}
 
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    got = sorted(map(tuple, out.groupby(["doc_id", "bin_id", "bin_start"])["length"].sum().reset_index()[["doc_id", "length"]].to_numpy().tolist()))
-    assert got == want
-    # the order within the only shard is that of the hashed ids
-    order = spark.createDataFrame([(i,) for i in sorted({r[0] for r in copies})], "id long").select("id", F.xxhash64(F.lit(packing.Packing().seed), "id").alias("h")).orderBy("h", "id").collect()
-    times = {}
-    for i, _ in want:
-        times[i] = times.get(i, 0) + 1
-    size = dict(want)
-    line = [r["id"] for r in order for _ in range(times[r["id"]])]
-    places = naive([size[i] for i in line], 8192, 64)
-    assert sorted((i, b, o) for i, (b, o) in zip(line, places)) == sorted(map(tuple, out[["doc_id", "bin_id", "bin_start"]].to_numpy().tolist()))
+    # every document and copy is there with all its ids
+    got = {}
+    for r in out.sort_values("start").itertuples():
+        got.setdefault((r.doc_id, r.copy_no), []).extend(tokenpack.unpack(r.ids, 16, r.length).tolist())
+    assert got == {(r[0], k): ids[r[0]] for r, k in copies}
+    # the order within the only shard is that of the hashed ids, texts and copies
+    packed = {r[0]: tokenpack.pack(np.array(ids[r[0]]), 16) for r in now}
+    line = spark.createDataFrame([(r[0], bytearray(packed[r[0]]), k) for r, k in copies], "id long, data binary, copy int")
+    line = line.select("id", "copy", F.xxhash64(F.lit(packing.Packing().seed), F.xxhash64("id", "data"), "copy").alias("h")).orderBy("h").collect()
+    places = naive([len(ids[r["id"]]) for r in line], 8192, 64)
+    assert sorted((r["id"], r["copy"], b, o) for r, (b, o) in zip(line, places)) == sorted(map(tuple, out[["doc_id", "copy_no", "bin_id", "bin_start"]].to_numpy().tolist()))
 
 
 def test_stages_take_rows_of_all_kinds(spark, tmp_path):
