@@ -19,7 +19,7 @@ STEM = 5
 @dataclass(frozen=True)
 class Machine:
     """A term is a word, or the first STEM bytes of a longer one, hashed to `bits`. Learned from at most train_rows
-    labelled documents, those of least hash, a fifth of them held out to choose the threshold.
+    labelled documents, those of least hash, a fifth of them held out to choose the round and the threshold.
 
     Terms in at least min_docs of them have weights if their own log odds are min_z standard errors from 0, or if the
     presence of some other term shifts theirs by min_pair_z of them; pairs are tried of all terms in pair_docs of the
@@ -149,9 +149,13 @@ def gradients(state: dict[str, np.ndarray], x: np.ndarray, o: np.ndarray, target
     return float(loss), {"b": np.array([error.sum()]), "w": np.bincount(x, e, n) + decay * state["w"] / n, "v": by_term + decay * state["v"] / n}
 
 
+def _model(kinds: np.ndarray, state: dict[str, np.ndarray], p: Machine) -> Model:
+    return Model(kinds, float(state["b"][0]), state["w"], state["v"], 0.5, p.bits)
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, p: Machine = Machine()) -> Model:
-    """A model from each document's distinct terms and whether it is toxic; without both kinds nothing is toxic. Its
-    losses are the mean log loss over the taught documents before each round."""
+    """A model from each document's distinct terms and whether it is toxic; without both kinds nothing is toxic. The
+    round of least log loss over the documents held out gives the weights; losses has that over the others."""
     empty = Model(np.zeros(0, np.int64), -60.0, np.zeros(0), np.zeros((0, p.factors)), 0.5, p.bits)
     y = np.asarray(y, np.float64)
     if not len(y) or y.min() == y.max():
@@ -172,26 +176,31 @@ def fit(rows: list[np.ndarray], y: np.ndarray, p: Machine = Machine()) -> Model:
     rng = np.random.default_rng(p.seed)
     state = {"b": np.array([np.log(target.mean() / (1 - target.mean()))]), "w": np.zeros(len(kinds)), "v": rng.normal(0, 0.01, (len(kinds), p.factors))}
     moments = {k: (np.zeros_like(s), np.zeros_like(s)) for k, s in state.items()}
+    some = held[owner]
+    aside = (term[some], (np.cumsum(held) - 1)[owner[some]], y[held])
     losses: list[float] = []
+    best = (np.inf, state)
     for step in range(1, p.rounds + 1):
         loss, grads = gradients(state, x, o, target, p.decay)
         losses.append(loss)
+        if held.any():
+            score = np.clip(_model(kinds, state, p).score(aside[0], aside[1], len(aside[2])), 1e-9, 1 - 1e-9)
+            best = min(best, (-np.log(np.where(aside[2] > 0, score, 1 - score)).mean(), state), key=lambda b: b[0])
         if step > 20 and losses[-11] - loss < p.tolerance * losses[-11]:
             break
         for k, g in grads.items():
             first, second = moments[k]
             first += 0.1 * (g - first)
             second += 0.001 * (g * g - second)
-            state[k] = state[k] - p.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    model = Model(kinds, float(state["b"][0]), state["w"], state["v"], 0.5, p.bits, tuple(losses))
-    if held.any():
-        some = held[owner]
-        score = model.score(term[some], (np.cumsum(held) - 1)[owner[some]], int(held.sum()))
-        best, truth = 0.0, y[held] > 0
-        for cut in np.arange(0.3, 0.95, 0.05):
-            f1 = 2 * (truth & (score >= cut)).sum() / max(1, truth.sum() + (score >= cut).sum())
-            if f1 > best + 1e-9:
-                best, model = f1, replace(model, threshold=float(round(cut, 2)))
+            state = {**state, k: state[k] - p.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)}
+    if not held.any():
+        return replace(_model(kinds, state, p), losses=tuple(losses))
+    model = replace(_model(kinds, best[1], p), losses=tuple(losses))
+    score, truth, most = model.score(*aside[:2], len(aside[2])), aside[2] > 0, 0.0
+    for cut in np.arange(0.05, 0.96, 0.05):
+        f1 = 2 * (truth & (score >= cut)).sum() / max(1, truth.sum() + (score >= cut).sum())
+        if f1 > most + 1e-9:
+            most, model = f1, replace(model, threshold=float(round(cut, 2)))
     return model
 
 
