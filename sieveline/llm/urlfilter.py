@@ -21,7 +21,7 @@ DEFAULT = Path(__file__).with_name("url_terms.csv")
 #: Terms that a vocabulary may have, as each task holds all.
 MOST_TERMS = 1_000_000
 #: The host of a URL, with what stands before it; the scheme may lack.
-HOST = r"^(?:(?:[a-z][a-z0-9+.-]*:)?//)?(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^(?:(?:[a-z][a-z0-9+.-]*:)?//)?(?:[^/?#]*@)?([^/?#:]*)"
 _HOST = re.compile(HOST)
 
 
