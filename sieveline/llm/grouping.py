@@ -76,38 +76,44 @@ def links(edges: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
 
 
-def strangers(members: DataFrame, by: list[str]) -> DataFrame:
-    """(a, b): pairs of members (*by, id, root) with equal by and different roots, a < b, each once.
+def strangers(members: DataFrame, by: list[str], may: str = "true") -> DataFrame:
+    """(a, b): pairs of members (*by, id, root[, shape]) with equal by and different roots, a < b, each once, for which
+    may holds, SQL on their shapes x and y.
 
     In any such pair one is not of the root that most members have, so these alone are matched with all: a group of
     copies, however large, costs the number of its strangers times its size, never its square.
     """
+    shape = [c for c in ("shape",) if c in members.columns]
     counts = members.groupBy(*by, "root").agg(F.count("*").alias("n"))
     main = counts.groupBy(*by).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(*by, "main")
     mixed = members.join(main, by)
-    few = mixed.where("root <> main").select(*by, F.col("id").alias("b"), F.col("root").alias("other"))
-    pairs = mixed.select(*by, F.col("id").alias("a"), "root").join(few, by).where("root <> other")
+    few = mixed.where("root <> main").select(*by, F.col("id").alias("b"), F.col("root").alias("other"), *[F.col(c).alias("y") for c in shape])
+    pairs = mixed.select(*by, F.col("id").alias("a"), "root", *[F.col(c).alias("x") for c in shape]).join(few, by).where("root <> other").where(may)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified_edges(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def verified_edges(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], shapes: DataFrame | None = None, may: str = "true") -> DataFrame:
     """Enough verified pairs (a, b) of bucket mates for the components that all of them form.
 
     buckets has (key, id), in which rows may repeat; verify keeps of pairs (a, b) those alike enough. Exact without
     trying each pair: members are first compared with their bucket's least id; the pairs left are those of members
-    that this didn't join, in buckets where some comparison failed. Buckets with the same members count once. What
-    a bucket has is aggregated before rows move, so one that holds a third of all rows is no task of its own.
+    that this didn't join, in buckets where some comparison failed. Of these only pairs whose shapes, rows of
+    (id, shape), pass may as strangers() has it are tried: it has to hold for all that verify keeps. Buckets with the
+    same members count once. What a bucket has is aggregated before rows move, so one that holds a third of all rows
+    is no task of its own.
     """
     with scratch(buckets.sparkSession) as keep:
-        held = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.sum(F.xxhash64("id").bitwiseAND(0xFFFFFFFFFF)).alias("sum")).where("centre <> last")
-        shared = cut(held.select("key", "centre", F.xxhash64("centre", "last", "sum").alias("set")))
-        members = cut(buckets.join(small(shared, shared.count(), 64), "key").select("set", "centre", "id").distinct())
+        shared = cut(buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").drop("last"))
+        live = cut(buckets.join(small(shared, shared.count(), 24), "key"))
+        sets = live.groupBy("key").agg(F.xxhash64(F.min("centre"), F.max("id"), F.sum(F.xxhash64("id").bitwiseAND(0xFFFFFFFFFF))).alias("set"))
+        members = cut(live.join(sets, "key").select("set", "centre", "id").distinct())
         tried = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         good = keep(cut(verify(tried)))
         label = components(good)
         failed = members.where("id <> centre").join(good.select(F.col("a").alias("centre"), F.col("b").alias("id")), ["centre", "id"], "left_anti").select("set").distinct()
-        rest = cut(members.join(failed, "set", "left_semi").join(label, "id", "left").select("set", "id", F.coalesce("root", "id").alias("root")))
-        more = keep(cut(verify(strangers(rest, ["set"]).join(tried, ["a", "b"], "left_anti"))))
+        rest = members.join(failed, "set", "left_semi").join(label, "id", "left").select("set", "id", F.coalesce("root", "id").alias("root"))
+        rest = cut(rest if shapes is None else rest.join(shapes, "id"))
+        more = keep(cut(verify(strangers(rest, ["set"], may).join(tried, ["a", "b"], "left_anti"))))
     return good.select("a", "b").unionByName(more.select("a", "b"))
 
 

@@ -212,6 +212,21 @@ def alike(x, y):
     return one(x["sig"], y["sig2"]) if x["level"] == y["level"] + 1 else 0
 
 
+def test_shapes_never_rule_out_what_is_alike(spark):
+    """The bound on edits by lengths and signs holds for all pairs, and tells most unlike ones."""
+    docs = scattered(40) + [(1000 + i, t) for i, t in corpus(30, 5)]
+    prints = ctph.fingerprints(spark.createDataFrame(docs, DOCS)).withColumnRenamed("doc_id", "id")
+    rows = prints.collect()
+    shapes = prints.mapInArrow(ctph._shapes, f"id long, shape {ctph.SHAPE}").join(prints, "id").select("id", "shape", F.struct("level", "sig", "sig2").alias("p"))
+    both = shapes.select(F.col("id").alias("a"), F.col("shape").alias("x"), F.col("p").alias("u")).crossJoin(shapes.select(F.col("id").alias("b"), F.col("shape").alias("y"), F.col("p").alias("v"))).where("a < b")
+    got = {(r["a"], r["b"]): (r["m"], r["s"], r["t"]) for r in both.select("a", "b", F.expr(ctph.may_score("x", "y", 70)).alias("m"), F.expr(ctph.score("u", "v")).alias("s"), F.expr(ctph.score("u", "v", 70)).alias("t")).collect()}
+    assert all(m for m, s, _ in got.values() if s >= 70) and sum(s >= 70 for _, s, _ in got.values()) > 40
+    assert all(s == t for _, s, t in got.values() if s >= 70 or t >= 70)
+    assert sum(m for m, s, _ in got.values() if s < 70) < 0.2 * len(got)
+    by = {r["id"]: r for r in rows}
+    assert all(s >= 70 for (a, b), (_, s, _) in got.items() if alike(by[a], by[b]) >= 70)
+
+
 def test_fuzzy_groups_against_all_pairs(spark):
     docs = corpus(40, 3)
     out = ctph.grouped(spark.createDataFrame(docs, DOCS)).collect()
