@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, U, chunks, id_type, lists, mix, span_hashes, with_id, words
 
+#: Parts of the labelled documents that are held out in turn.
+FOLDS = 5
 #: Leading bytes of a word that make a term of their own, so that words of one stem share one.
 STEM = 5
 
@@ -19,7 +21,7 @@ STEM = 5
 @dataclass(frozen=True)
 class Machine:
     """A term is a word, or the first STEM bytes of a longer one, hashed to `bits`. Learned from at most train_rows
-    labelled documents, those of least hash, a fifth of them held out to choose the round and the threshold.
+    labelled documents, those of least hash, each held out once to choose the rounds and the threshold.
 
     Terms in at least min_docs of them have weights if their own log odds are min_z standard errors from 0, or if the
     presence of some other term shifts theirs by min_pair_z of them; pairs are tried of all terms in pair_docs of the
@@ -37,7 +39,7 @@ class Machine:
     rounds: int = 300
     tolerance: float = 1e-3
     rate: float = 0.1
-    decay: float = 2e-3
+    decay: float = 0.5
     seed: int = 42
 
     def __post_init__(self) -> None:
@@ -89,20 +91,30 @@ def _errors(toxic: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.log(a / b), 1 / a + 1 / b
 
 
-def telling(owner: np.ndarray, term: np.ndarray, y: np.ndarray, train: np.ndarray, p: Machine, step: int = 512) -> np.ndarray:
-    """The terms that have weights, by the documents in train: see Machine. Pairs are counted by matrix products of
-    step terms each."""
-    n, t = float(train.sum()), float(y[train].sum())
+def _counted(owner: np.ndarray, term: np.ndarray, y: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the documents in train: each entry's document and place among the kinds of terms, these, how many documents
+    have each, how many toxic ones, and the truth."""
     seen = train[owner]
-    owner, term = (np.cumsum(train) - 1)[owner[seen]], term[seen]
-    kinds, place = np.unique(term, return_inverse=True)
-    truth = y[train]
-    with_term, toxic = np.bincount(place).astype(np.float64), np.bincount(place, truth[owner])
-    (odds, var), (other, other_var) = _errors(toxic, with_term), _errors(t - toxic, n - with_term)
-    enough = with_term >= p.min_docs
-    keep = enough & (np.abs(odds - other) >= p.min_z * np.sqrt(var + other_var))
+    kinds, place = np.unique(term[seen], return_inverse=True)
+    owner, truth = (np.cumsum(train) - 1)[owner[seen]], y[train]
+    return owner, place, kinds, np.bincount(place).astype(np.float64), np.bincount(place, truth[owner]), truth
+
+
+def telling_alone(owner: np.ndarray, term: np.ndarray, y: np.ndarray, train: np.ndarray, p: Machine) -> np.ndarray:
+    """The terms whose own log odds tell, by the documents in train: see Machine."""
+    _, _, kinds, with_term, toxic, truth = _counted(owner, term, y, train)
+    (odds, var), (other, other_var) = _errors(toxic, with_term), _errors(truth.sum() - toxic, len(truth) - with_term)
+    return kinds[(with_term >= p.min_docs) & (np.abs(odds - other) >= p.min_z * np.sqrt(var + other_var))]
+
+
+def telling_together(owner: np.ndarray, term: np.ndarray, y: np.ndarray, p: Machine, step: int = 512) -> np.ndarray:
+    """The terms that tell in the company of some other: see Machine. Pairs are counted by matrix products of step
+    terms each."""
+    owner, place, kinds, with_term, toxic, truth = _counted(owner, term, y, np.ones(len(y), bool))
+    n, t = float(len(truth)), float(truth.sum())
+    keep = np.zeros(len(kinds), bool)
     # a term that nearly all documents have, or lack, can't be told from its absence
-    usual = np.flatnonzero(enough & (np.minimum(with_term, n - with_term) >= p.pair_docs * n))
+    usual = np.flatnonzero((with_term >= p.min_docs) & (np.minimum(with_term, n - with_term) >= p.pair_docs * n))
     at = np.full(len(kinds), -1)
     at[usual] = np.arange(len(usual))
     held = at[place] >= 0
@@ -135,73 +147,86 @@ def telling(owner: np.ndarray, term: np.ndarray, y: np.ndarray, train: np.ndarra
 
 
 def gradients(state: dict[str, np.ndarray], x: np.ndarray, o: np.ndarray, target: np.ndarray, decay: float) -> tuple[float, dict[str, np.ndarray]]:
-    """The mean log loss over documents with the terms x of documents o, decay / 2 a term's mean square weight with
-    it, and its gradient by bias, linear and pair weights."""
+    """The mean log loss over documents with the terms x of documents o, with half the sum of the squared weights by
+    decay, shared out over the documents: the loss of weights that are normal with variance 1 / decay before anything
+    is known. And its gradient by bias, linear and pair weights."""
     m, n, factors = len(target), len(state["w"]), state["v"].shape[1]
     v = state["v"][x]
     sums = np.stack([np.bincount(o, v[:, f], m) for f in range(factors)], axis=1)
     logit = state["b"][0] + np.bincount(o, state["w"][x], m) + 0.5 * ((sums * sums).sum(axis=1) - np.bincount(o, (v * v).sum(axis=1), m))
-    loss = np.logaddexp(0, np.where(target > 0, -logit, logit)).mean() + 0.5 * decay * ((state["w"] ** 2).sum() + (state["v"] ** 2).sum()) / n
+    loss = np.logaddexp(0, np.where(target > 0, -logit, logit)).mean() + 0.5 * decay * ((state["w"] ** 2).sum() + (state["v"] ** 2).sum()) / m
     error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - target) / m
     e = error[o]
     push = e[:, None] * (sums[o] - v)
     by_term = np.stack([np.bincount(x, push[:, f], n) for f in range(factors)], axis=1)
-    return float(loss), {"b": np.array([error.sum()]), "w": np.bincount(x, e, n) + decay * state["w"] / n, "v": by_term + decay * state["v"] / n}
+    return float(loss), {"b": np.array([error.sum()]), "w": np.bincount(x, e, n) + decay * state["w"] / m, "v": by_term + decay * state["v"] / m}
 
 
 def _model(kinds: np.ndarray, state: dict[str, np.ndarray], p: Machine) -> Model:
     return Model(kinds, float(state["b"][0]), state["w"], state["v"], 0.5, p.bits)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, p: Machine = Machine()) -> Model:
-    """A model from each document's distinct terms and whether it is toxic; without both kinds nothing is toxic. The
-    round of least log loss over the documents held out gives the weights; losses has that over the others."""
-    empty = Model(np.zeros(0, np.int64), -60.0, np.zeros(0), np.zeros((0, p.factors)), 0.5, p.bits)
-    y = np.asarray(y, np.float64)
-    if not len(y) or y.min() == y.max():
-        return empty
-    owner, term = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
-    held = np.random.default_rng(p.seed).random(len(y)) < 0.2
-    if y[~held].min() == y[~held].max() or not y[held].any():
-        held[:] = False
-    kinds = telling(owner, term, y, ~held, p)
-    if not len(kinds):
-        return empty
+def _descend(kinds: np.ndarray, owner: np.ndarray, term: np.ndarray, y: np.ndarray, train: np.ndarray, p: Machine, rounds: int) -> tuple[Model, int, np.ndarray]:
+    """The model after so many rounds over the documents in train, or after the one of least log loss over the others
+    if there are any; which round that was; and the others' scores."""
     at = np.minimum(np.searchsorted(kinds, term), len(kinds) - 1)
     known = kinds[at] == term
     owner, term = owner[known], at[known]
-    train = ~held[owner]
-    rows_of = np.cumsum(~held) - 1
-    x, o, target, m = term[train], rows_of[owner[train]], y[~held], int((~held).sum())
-    rng = np.random.default_rng(p.seed)
-    state = {"b": np.array([np.log(target.mean() / (1 - target.mean()))]), "w": np.zeros(len(kinds)), "v": rng.normal(0, 0.01, (len(kinds), p.factors))}
+    seen, held = train[owner], ~train[owner]
+    x, o, target, truth = term[seen], (np.cumsum(train) - 1)[owner[seen]], y[train], y[~train] > 0
+    aside = (term[held], (np.cumsum(~train) - 1)[owner[held]], len(truth))
+    state = {"b": np.array([np.log(target.mean() / (1 - target.mean()))]), "w": np.zeros(len(kinds)), "v": np.random.default_rng(p.seed).normal(0, 0.01, (len(kinds), p.factors))}
     moments = {k: (np.zeros_like(s), np.zeros_like(s)) for k, s in state.items()}
-    some = held[owner]
-    aside = (term[some], (np.cumsum(held) - 1)[owner[some]], y[held])
     losses: list[float] = []
-    best = (np.inf, state)
-    for step in range(1, p.rounds + 1):
+    best = (np.inf, rounds, state)
+    for step in range(1, rounds + 1):
         loss, grads = gradients(state, x, o, target, p.decay)
         losses.append(loss)
-        if held.any():
-            score = np.clip(_model(kinds, state, p).score(aside[0], aside[1], len(aside[2])), 1e-9, 1 - 1e-9)
-            best = min(best, (-np.log(np.where(aside[2] > 0, score, 1 - score)).mean(), state), key=lambda b: b[0])
-        if step > 20 and losses[-11] - loss < p.tolerance * losses[-11]:
-            break
+        if len(truth):
+            score = np.clip(_model(kinds, state, p).score(*aside), 1e-9, 1 - 1e-9)
+            best = min(best, (-np.log(np.where(truth, score, 1 - score)).mean(), step, state), key=lambda b: b[0])
+            if step > 20 and losses[-11] - loss < p.tolerance * losses[-11]:
+                break
         for k, g in grads.items():
             first, second = moments[k]
             first += 0.1 * (g - first)
             second += 0.001 * (g * g - second)
             state = {**state, k: state[k] - p.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)}
-    if not held.any():
-        return replace(_model(kinds, state, p), losses=tuple(losses))
-    model = replace(_model(kinds, best[1], p), losses=tuple(losses))
-    score, truth, most = model.score(*aside[:2], len(aside[2])), aside[2] > 0, 0.0
-    for cut in np.arange(0.05, 0.96, 0.05):
-        f1 = 2 * (truth & (score >= cut)).sum() / max(1, truth.sum() + (score >= cut).sum())
+    model = replace(_model(kinds, best[2] if len(truth) else state, p), losses=tuple(losses))
+    return model, best[1], model.score(*aside)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, p: Machine = Machine()) -> Model:
+    """A model from each document's distinct terms and whether it is toxic; without both kinds nothing is toxic.
+
+    Each of FOLDS parts of the documents is held out once. The threshold is the one of best F1 over the scores that
+    documents get while held out; all are then learned in as many rounds as gave the least log loss over those held
+    out, in the median part. losses is the loss of the others, round by round, the first time.
+    """
+    empty = Model(np.zeros(0, np.int64), -60.0, np.zeros(0), np.zeros((0, p.factors)), 0.5, p.bits)
+    y = np.asarray(y, np.float64)
+    if not len(y) or y.min() == y.max():
+        return empty
+    owner, term = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
+    everyone, part = np.ones(len(y), bool), np.random.default_rng(p.seed).integers(0, FOLDS, len(y))
+    together = telling_together(owner, term, y, p)
+    kinds = np.union1d(telling_alone(owner, term, y, everyone, p), together)
+    if not len(kinds):
+        return empty
+    score, rounds, losses = np.full(len(y), np.nan), [], ()
+    for k in range(FOLDS):
+        train = part != k
+        some = np.union1d(telling_alone(owner, term, y, train, p), together)
+        if not train.all() and len(some) and y[train].min() < y[train].max():
+            model, best, score[~train] = _descend(some, owner, term, y, train, p, p.rounds)
+            rounds, losses = [*rounds, best], losses or model.losses
+    model = _descend(kinds, owner, term, y, everyone, p, int(np.median(rounds)) if rounds else p.rounds)[0]
+    toxic, most, threshold = y > 0, 0.0, 0.5
+    for cut in np.arange(0.05, 0.96, 0.05) if rounds else ():
+        f1 = 2 * (toxic & (score >= cut)).sum() / max(1, toxic[~np.isnan(score)].sum() + (score >= cut).sum())
         if f1 > most + 1e-9:
-            most, model = f1, replace(model, threshold=float(round(cut, 2)))
-    return model
+            most, threshold = f1, float(round(cut, 2))
+    return replace(model, threshold=threshold, losses=losses or model.losses)
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Machine = Machine(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
