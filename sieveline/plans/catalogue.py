@@ -299,12 +299,33 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-#: The rules once more, in the words of another regular expression engine.
+def _of(words: str) -> str:
+    return f"(?:{'|'.join(words.split())})"
+
+
+#: What the rules' phrases are made of; the words are data that guard's rules have too, the patterns below are not.
+EARLIER, NOUNS = _of("earlier preceding prior above previous"), _of("context rules? messages? prompts? instructions?")
+GAP, ALL, THE = "\\s+", "(?:all\\s+)?", "(?:the\\s+)?"
+ZH_BEFORE, ZH_ONE = _of("以上 上述 之前 前面 先前"), _of("一个 一名 一位")
+#: The rules once more, for another regular expression engine.
 RULE_SQL = {
-    "role-marker": ["⟦", "⟧", "(?im)^[ \\t\\x{3000}]*(?:system|assistant|user|系统|助手|用户)[ \\t\\x{3000}]*[:：]", "<\\|im_(?:start|end)\\|>", "(?i)<\\|(?:system|user|assistant)\\|>", "(?i)\\[/?INST\\]", "(?i)<</?SYS>>", "(?im)^#{1,6}[ \\t]*(?:system|instruction|系统|指令)", "【(?:系统提示|系统|指令)】"],
-    "instruction-override": ["忽略(?:以上|之前|上面|前面|先前)的?(?:所有|全部)?(?:指令|提示|规则|要求|内容|对话|设定|限制)", "不要再?(?:遵守|遵循|执行|理会|理睬|管)(?:以上|上述|之前|前面|先前)的?(?:指令|规则|要求|内容|对话|限制)?", "停止(?:当前|上述|之前|先前)的?(?:操作|对话|任务|指令)", "(?:现在)?(?:转而|改成|改为)(?:执行|显示|生成|输出|告诉|回答)", "(?i)ignore\\s+(?:all\\s+)?(?:the\\s+)?(?:previous|above|prior|earlier|preceding|all)\\s+(?:instructions?|prompts?|messages?|rules?|context)", "(?i)disregard\\s+(?:all\\s+)?(?:the\\s+)?(?:previous|above|prior|earlier|preceding)\\b", "(?i)forget\\s+(?:(?:all|everything)\\s+)?(?:(?:the\\s+)?(?:previous|above|prior|earlier|preceding|instructions?|prompts?|rules?)|you\\s+were\\s+told|i\\s+(?:told|said))", "(?i)override\\s+(?:all\\s+)?(?:the\\s+)?(?:system|previous|above|prior|earlier|preceding)\\s+(?:instructions?|prompts?|messages?|rules?|context|directives?|constraints?)"],
-    "role-injection": ["你现在(?:开始扮演|来扮演|要扮演|要成为|将成为|是)(?:一个|一名|一位)?", "从现在(?:起|开始)[，,]?你(?:必须|将|应|是|来|要)", "请?(?:冒充|扮演|假装你?是|装作你?是?)(?:一个|一名|一位)?", "(?:切换到|进入|开启|启用)(?:上帝模式|开发者模式|管理员模式)", "(?i)you\\s+are\\s+now\\b(?:\\s+an?\\b)?", "(?i)\\bact\\s+as\\s+(?:an?\\s+)?(?:[a-z''-]+\\s+){0,3}?(?:ai|assistant|model|chatbot|persona|character|dan|hacker|jailbro\\w*|unrestricted|uncensored|unfiltered|developer|admin|root|superuser)\\b", "(?i)\\bpretend\\s+(?:you\\s+are|to\\s+be)\\b", "(?i)(?:enable|activate|enter|turn\\s+on|switch\\s+to|go\\s+into)\\s+(?:the\\s+)?(?:developer|admin|god)\\s+mode", "(?i)\\b(?:jailbreak|dan)\\s+mode\\b"],
-}
+    "role-marker": ["⟦", "⟧", f"(?im)^[ \\t\\x{{3000}}]*{_of('user system assistant 用户 系统 助手')}[ \\t\\x{{3000}}]*[:：]", "<\\|im_(?:start|end)\\|>", f"(?i)<\\|{_of('user assistant system')}\\|>", "(?i)\\[/?INST\\]", "(?i)<</?SYS>>", f"(?im)^#{{1,6}}[ \\t]*{_of('instruction system 指令 系统')}", f"【{_of('指令 系统提示 系统')}】"],
+    "instruction-override": [
+        f"忽略{_of('以上 之前 上面 前面 先前')}的?{_of('所有 全部')}?{_of('限制 设定 对话 内容 要求 规则 提示 指令')}",
+        f"不要再?{_of('遵守 遵循 执行 理会 理睬 管')}{ZH_BEFORE}的?{_of('限制 对话 内容 要求 规则 指令')}?",
+        f"停止{_of('当前 上述 之前 先前')}的?{_of('指令 任务 对话 操作')}",
+        f"(?:现在)?{_of('改为 改成 转而')}{_of('回答 告诉 输出 生成 显示 执行')}",
+        f"(?i)ignore{GAP}{ALL}{THE}(?:all|{EARLIER}){GAP}{NOUNS}",
+        f"(?i)disregard{GAP}{ALL}{THE}{EARLIER}\\b",
+        f"(?i)forget{GAP}(?:{_of('everything all')}{GAP})?(?:{THE}(?:{EARLIER}|{_of('rules? prompts? instructions?')})|you{GAP}were{GAP}told|i{GAP}{_of('said told')})",
+        f"(?i)override{GAP}{ALL}{THE}(?:system|{EARLIER}){GAP}(?:{NOUNS}|{_of('constraints? directives?')})",
+    ],
+    "role-injection": [
+        f"你现在{_of('是 将成为 要成为 要扮演 来扮演 开始扮演')}{ZH_ONE}?", f"从现在{_of('开始 起')}[，,]?你{_of('要 来 是 应 将 必须')}", f"请?(?:扮演|冒充|假装你?是|装作你?是?){ZH_ONE}?", f"{_of('启用 开启 进入 切换到')}{_of('管理员模式 开发者模式 上帝模式')}",
+        f"(?i)you{GAP}are{GAP}now\\b(?:{GAP}an?\\b)?", f"(?i)\\bact{GAP}as{GAP}(?:an?{GAP})?(?:[a-z''-]+{GAP}){{0,3}}?{_of('superuser root admin developer unfiltered uncensored unrestricted hacker dan character persona chatbot model assistant ai jailbro[a-z]*')}\\b",
+        f"(?i)\\bpretend{GAP}(?:to{GAP}be|you{GAP}are)\\b", f"(?i)(?:{_of('enter activate enable')}|go{GAP}into|switch{GAP}to|turn{GAP}on){GAP}{THE}{_of('god admin developer')}{GAP}mode", f"(?i)\\b{_of('dan jailbreak')}{GAP}mode\\b",
+    ],
+}
 CASE_ROWS = ", ".join(f"({i}, '{c}', {_literal(x)}, {_literal(y)}, {_literal(z)})" for i, (c, x, y, z) in enumerate(CASES))
 INJECTED = f"ca(i, category, before, span, after) AS (VALUES {CASE_ROWS}), inj AS (SELECT doc_id, text AS plain, category, before, span, after, before || span || after || text AS text FROM documents JOIN ca ON i = doc_id % {len(CASES)})"
 RULE_COUNTS = {k: " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in ps) for k, ps in RULE_SQL.items()}
