@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, vectors
 from ..operators import chunking, enrich, evaluation, guard, metrics, rewrite, search
+from ..sources.shared import cut
 
 DIM = 64
 
@@ -394,13 +395,24 @@ def cache_skip_flags(t: Tables) -> DataFrame:
     return t.events.select("event_id", keys.skip_write_column(F.col("value") < 0, F.when(F.col("event_type") == "error", " LOW "), env).alias("skip"))
 
 
+def _placed(t: Tables, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each benchmark item with the source and language of the document of its own number, and hits (config, qid, pos,
+    doc_id) with the source of theirs: one read of these columns for both."""
+    own = _queries(t).select(F.lit(None).cast("string").alias("config"), "qid", F.lit(0).alias("pos"), F.col("qid").alias("doc_id"), "query")
+    both = hits.select("config", "qid", "pos", "doc_id", F.lit(None).cast("string").alias("query")).unionByName(own)
+    held = cut(both.join(t.documents.select("doc_id", "source", "lang"), "doc_id"))
+    return held.where("config is null").select("qid", "query", "source", F.col("lang").alias("category")), held.where("config is not null").select("config", "qid", "pos", "source")
+
+
+def _bm25_hits(t: Tables) -> DataFrame:
+    return search.bm25_documents(t.documents, _queries(t), 5).select(F.lit("bm25").alias("config"), "qid", F.col("bm25_rank").alias("pos"), "doc_id")
+
+
 def _evaluation(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each benchmark item asks for the source of the document of its own number; results are its best five."""
-    docs = t.documents.select("doc_id", "source", "lang")
-    items = _queries(t).join(docs, F.col("qid") == F.col("doc_id"))
+    items, hits = _placed(t, _bm25_hits(t))
     expected = items.select("qid", "source", F.lit(None).cast("int").alias("page"))
-    hits = search.bm25_documents(t.documents, _queries(t), 5).join(docs.select("doc_id", "source"), "doc_id")
-    return items.select("qid", "query", F.col("lang").alias("category")), expected, hits.select("qid", F.col("bm25_rank").alias("pos"), "source")
+    return items.select("qid", "query", "category"), expected, hits.select("qid", "pos", "source")
 
 
 EVAL = f"""{BM25}, it AS (SELECT item_id AS qid, d.source, d.lang AS category FROM benchmark JOIN documents d ON d.doc_id = item_id),
@@ -511,11 +523,12 @@ pq AS (SELECT config, qid, min(CASE WHEN g = 1 THEN pos END) AS hit_rank, coales
 SELECT config, count(*) AS total, count(hit_rank) AS hits, round(count(hit_rank) / count(*)::DOUBLE, 6) AS hit_rate, round(avg(coalesce(1.0 / hit_rank, 0)), 6) AS mrr, round(avg(ndcg), 6) AS mean_ndcg FROM pq GROUP BY 1""",
 )
 def benchmark_compare(t: Tables) -> DataFrame:
-    queries, expected, results = _evaluation(t)
-    near = search.knn_topk(_base(t), _asked(t), DIM, 5).join(t.documents.select("doc_id", "source"), "doc_id")
+    near = search.knn_topk(_base(t), _asked(t), DIM, 5).select(F.lit("knn").alias("config"), "qid", F.col("vec_rank").alias("pos"), "doc_id")
+    items, hits = _placed(t, _bm25_hits(t).unionByName(near))
     # a vector without a document is no result, so those left are counted anew
-    near = near.select(F.lit("knn").alias("config"), "qid", F.row_number().over(Window.partitionBy("qid").orderBy("vec_rank")).alias("pos"), "source")
-    out = evaluation.benchmark(queries, expected, results.select(F.lit("bm25").alias("config"), "qid", "pos", "source").unionByName(near))
+    hits = hits.withColumn("pos", F.row_number().over(Window.partitionBy("config", "qid").orderBy("pos")))
+    expected = items.select("qid", "source", F.lit(None).cast("int").alias("page"))
+    out = evaluation.benchmark(items.select("qid", "query"), expected, hits)
     return out.select("config", "total", F.col("hits").cast("long").alias("hits"), _r("hit_rate"), _r("mrr"), _r("mean_ndcg"))
 
 
