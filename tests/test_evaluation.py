@@ -188,3 +188,33 @@ def test_gate():
     gate = evaluation.Gate(0.9)
     assert [gate.code(f) for f in (lambda: {"hit_rate": 0.9}, lambda: {"hit_rate": 0.8}, lambda: 1 / 0)] == [0, 1, 2]
     assert metrics.judge_calls(3, 2) == 30
+
+
+def letters(texts):
+    """An embedder that counts a few letters."""
+    return [[float(t.lower().count(c)) + 0.01 for c in "aeiou"] for t in texts]
+
+
+def overlap(pairs):
+    """A scorer by shared words."""
+    return [float(len(set(q.lower().split()) & set(c.lower().split()))) for q, c in pairs]
+
+
+def test_the_command_line_measures_an_index(spark, tmp_path, capsys, monkeypatch):
+    from sieveline import __main__ as cli
+    from sieveline.sources.index import Index
+
+    texts = ["annual leave is twenty days", "sick notes go to the office", "travel costs are refunded", "the canteen opens at noon"]
+    rows = [(t, "handbook", i + 1, v) for (i, t), v in zip(enumerate(texts), letters(texts))]
+    index = Index.open(spark, str(tmp_path / "ix"), dim=5)
+    index.append(spark.createDataFrame(rows, "content string, source string, page int, embedding array<float>"), ["page"])
+    queries = ["how many days of annual leave", "where do sick notes go", "are travel costs refunded", "when does the canteen open"]
+    lines = [f"  - query: {q}\n    category: c{i % 2}\n    expected: [{{source: handbook, page: {i + 1}}}]" for i, q in enumerate(queries)]
+    (tmp_path / "set.yml").write_text("version: '1'\nqueries:\n" + "\n".join(lines))
+    base = ["eval", "--index", str(tmp_path / "ix"), "--set", str(tmp_path / "set.yml"), "--top-k", "1"]
+    assert cli.main([*base, "--out", str(tmp_path / "out")]) == 0
+    assert "hit rate 1.00" in capsys.readouterr().out and (tmp_path / "out" / "report.md").exists()
+    assert cli.main([*base, "--scorer", f"{__name__}:overlap", "--embed", f"{__name__}:letters"]) == 0
+    (tmp_path / "set.yml").write_text("version: '1'\nqueries:\n" + "\n".join(lines).replace("page: 1", "page: 9"))
+    assert cli.main(base) == 1 and cli.main([*base, "--any-page"]) == 0
+    assert cli.main(["eval", "--index", str(tmp_path / "none"), "--set", str(tmp_path / "set.yml")]) == 2
