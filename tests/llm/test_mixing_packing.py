@@ -229,6 +229,22 @@ def test_widths():
         tokenpack.pack(np.array([4]), 2)
 
 
+@pytest.mark.skipif(not os.path.exists(tokenpack.TOKENIZER), reason="no vocabulary here")
+def test_ids_are_those_of_another_implementation(spark):
+    """The registered query over all documents against another library's byte-level BPE of the same vocabulary."""
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(tokenpack.TOKENIZER.replace(".tiktoken", ".json"))
+    other.encode_special_tokens = True
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = queries.op3_packed_tokens(spark, DATA).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert tokenpack.read(r["packed"], r["offsets"], r["n_tokens"], 16, 1024).tolist() == other.encode(docs[r["doc_id"]], add_special_tokens=False).ids
+    for odd in ("Hello  world\n\n x's 12,3 é 试用期\t\t!", "don't  we'll\r\n  y ", "<|endoftext|>"):
+        assert tokenpack.encoder(tokenpack.TOKENIZER).encode_ordinary(odd) == other.encode(odd, add_special_tokens=False).ids
+
+
 @pytest.mark.skipif(not os.path.exists(tokenpack.TOKENIZER), reason="no vocabulary here")
 def test_token_rows_decode_to_their_texts(spark):
     texts = ["Hello world", "", None, "<|endoftext|> stays text", "naïve ñ 试用期", "w " * 30000, "Hello world"]
