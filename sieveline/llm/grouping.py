@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, id_type, scratch, small
+from .common import cut, discard, id_type, scratch
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def verified_edges(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
     """
     with scratch(buckets.sparkSession) as keep:
         shared = cut(buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").drop("last"))
-        live = cut(buckets.join(small(shared, shared.count(), 24), "key"))
+        live = cut(buckets.join(shared, "key"))
         sets = live.groupBy("key").agg(F.xxhash64(F.min("centre"), F.max("id"), F.sum(F.xxhash64("id").bitwiseAND(0xFFFFFFFFFF))).alias("set"))
         members = cut(live.join(sets, "key").select("set", "centre", "id").distinct())
         tried = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()

@@ -157,7 +157,7 @@ def tables(sketches: DataFrame, groups: int) -> DataFrame:
     halves, which are few, are counted first, and only those of several documents are combined."""
     halves = sketches.select("id", F.posexplode("keys").alias("at", "half"))
     shared = cut(halves.groupBy("half").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least <> last").select("half"))
-    live = halves.join(small(shared, shared.count(), 16), "half").groupBy("id").agg(F.collect_set(F.when(F.col("at") < groups, F.col("half"))).alias("first"), F.collect_set(F.when(F.col("at") >= groups, F.col("half"))).alias("second"))
+    live = halves.join(shared, "half").groupBy("id").agg(F.collect_set(F.when(F.col("at") < groups, F.col("half"))).alias("first"), F.collect_set(F.when(F.col("at") >= groups, F.col("half"))).alias("second"))
     live = cut(live.where("size(first) > 0 and size(second) > 0"))
     return live.select("id", "second", F.explode("first").alias("a")).select("id", "a", F.explode("second").alias("b")).select(F.xxhash64("a", "b").alias("key"), "id")
 

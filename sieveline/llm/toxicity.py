@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, U, chunks, id_type, lists, mix, span_hashes, with_id, words
 
+#: Terms of a document up to which a round takes its whole rate.
+USUAL_TERMS = 10
 #: Parts of the labelled documents that are held out in turn.
 FOLDS = 5
 #: Leading bytes of a word that make a term of their own, so that words of one stem share one.
@@ -177,6 +179,8 @@ def _descend(kinds: np.ndarray, owner: np.ndarray, term: np.ndarray, y: np.ndarr
     aside = (term[held], (np.cumsum(~train) - 1)[owner[held]], len(truth))
     state = {"b": np.array([np.log(target.mean() / (1 - target.mean()))]), "w": np.zeros(len(kinds)), "v": np.random.default_rng(p.seed).normal(0, 0.01, (len(kinds), p.factors))}
     moments = {k: (np.zeros_like(s), np.zeros_like(s)) for k, s in state.items()}
+    # each round moves all weights by about as much, and a document's score by that for each of its terms
+    rate = p.rate / max(1.0, len(x) / len(target) / USUAL_TERMS)
     losses: list[float] = []
     best = (np.inf, rounds, state)
     for step in range(1, rounds + 1):
@@ -185,13 +189,13 @@ def _descend(kinds: np.ndarray, owner: np.ndarray, term: np.ndarray, y: np.ndarr
         if len(truth):
             score = np.clip(_model(kinds, state, p).score(*aside), 1e-9, 1 - 1e-9)
             best = min(best, (-np.log(np.where(truth, score, 1 - score)).mean(), step, state), key=lambda b: b[0])
-            if step > 20 and losses[-11] - loss < p.tolerance * losses[-11]:
+            if step > 20 and min(losses[:-10]) - min(losses[-10:]) < p.tolerance * min(losses[:-10]):
                 break
         for k, g in grads.items():
             first, second = moments[k]
             first += 0.1 * (g - first)
             second += 0.001 * (g * g - second)
-            state = {**state, k: state[k] - p.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)}
+            state = {**state, k: state[k] - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)}
     model = replace(_model(kinds, best[2] if len(truth) else state, p), losses=tuple(losses))
     return model, best[1], model.score(*aside)
 
