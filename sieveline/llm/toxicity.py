@@ -148,20 +148,35 @@ def telling_together(owner: np.ndarray, term: np.ndarray, y: np.ndarray, p: Mach
     return kinds[keep]
 
 
-def gradients(state: dict[str, np.ndarray], x: np.ndarray, o: np.ndarray, target: np.ndarray, decay: float) -> tuple[float, dict[str, np.ndarray]]:
+def _runs(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """other in the order of key, where each run of equal keys starts, and those keys."""
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    return other[order], starts, key[order][starts]
+
+
+def _added(rows: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """For each of n keys the sum of the rows that its run names."""
+    named, starts, keys = runs
+    out = np.zeros((n, rows.shape[1]))
+    if len(named):
+        out[keys] = np.add.reduceat(rows[named], starts, axis=0)
+    return out
+
+
+def gradients(state: dict[str, np.ndarray], x: np.ndarray, o: np.ndarray, target: np.ndarray, decay: float, runs: tuple | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """The mean log loss over documents with the terms x of documents o, with half the sum of the squared weights by
     decay, shared out over the documents: the loss of weights that are normal with variance 1 / decay before anything
-    is known. And its gradient by bias, linear and pair weights."""
-    m, n, factors = len(target), len(state["w"]), state["v"].shape[1]
-    v = state["v"][x]
-    sums = np.stack([np.bincount(o, v[:, f], m) for f in range(factors)], axis=1)
-    logit = state["b"][0] + np.bincount(o, state["w"][x], m) + 0.5 * ((sums * sums).sum(axis=1) - np.bincount(o, (v * v).sum(axis=1), m))
-    loss = np.logaddexp(0, np.where(target > 0, -logit, logit)).mean() + 0.5 * decay * ((state["w"] ** 2).sum() + (state["v"] ** 2).sum()) / m
+    is known. And its gradient by bias, linear and pair weights. runs, of x by o and of o by x, saves sorting again."""
+    by_document, by_term = runs or (_runs(o, x), _runs(x, o))
+    m, n, v = len(target), len(state["w"]), state["v"]
+    whole = _added(np.column_stack([state["w"], (v * v).sum(axis=1), v]), by_document, m)
+    sums = whole[:, 2:]
+    logit = state["b"][0] + whole[:, 0] + 0.5 * ((sums * sums).sum(axis=1) - whole[:, 1])
+    loss = np.logaddexp(0, np.where(target > 0, -logit, logit)).mean() + 0.5 * decay * ((state["w"] ** 2).sum() + (v**2).sum()) / m
     error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - target) / m
-    e = error[o]
-    push = e[:, None] * (sums[o] - v)
-    by_term = np.stack([np.bincount(x, push[:, f], n) for f in range(factors)], axis=1)
-    return float(loss), {"b": np.array([error.sum()]), "w": np.bincount(x, e, n) + decay * state["w"] / m, "v": by_term + decay * state["v"] / m}
+    back = _added(np.column_stack([error, error[:, None] * sums]), by_term, n)
+    return float(loss), {"b": np.array([error.sum()]), "w": back[:, 0] + decay * state["w"] / m, "v": back[:, 1:] - back[:, :1] * v + decay * v / m}
 
 
 def _model(kinds: np.ndarray, state: dict[str, np.ndarray], p: Machine) -> Model:
@@ -182,9 +197,10 @@ def _descend(kinds: np.ndarray, owner: np.ndarray, term: np.ndarray, y: np.ndarr
     # each round moves all weights by about as much, and a document's score by that for each of its terms
     rate = p.rate / max(1.0, len(x) / len(target) / USUAL_TERMS)
     losses: list[float] = []
+    runs = _runs(o, x), _runs(x, o)
     best = (np.inf, rounds, state)
     for step in range(1, rounds + 1):
-        loss, grads = gradients(state, x, o, target, p.decay)
+        loss, grads = gradients(state, x, o, target, p.decay, runs)
         losses.append(loss)
         if len(truth):
             score = np.clip(_model(kinds, state, p).score(*aside), 1e-9, 1 - 1e-9)
