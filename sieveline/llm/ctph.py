@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, as_long, chunks, cut, id_type, lists, mix, powers, scratch, with_id
-from .grouping import components, links, verified_edges
+from .grouping import components, contract, mates
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: Bytes that decide whether a chunk ends.
@@ -121,7 +121,7 @@ def runs(levels: np.ndarray, first: list[str], second: list[str]) -> tuple[np.nd
 
 #: How often a sign occurs is told apart up to this.
 TIMES = 3
-SHAPE = "struct<level:int,n:int,n2:int,signs:array<long>,signs2:array<long>>"
+SHAPE = "struct<level:int,sig:string,sig2:string,n:int,n2:int,signs:array<long>,signs2:array<long>>"
 
 
 def masks(signatures: list[str]) -> np.ndarray:
@@ -156,7 +156,7 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [batch.column(c).to_pylist() for c in ("sig", "sig2")]
         size = [pa.array([len(s) for s in x], pa.int32()) for x in both]
         signs = [lists(as_long(masks(x).ravel()), np.full(len(x), TIMES)) for x in both]
-        shape = pa.StructArray.from_arrays([batch.column("level"), *size, *signs], ["level", "n", "n2", "signs", "signs2"])
+        shape = pa.StructArray.from_arrays([*[batch.column(c) for c in ("level", "sig", "sig2")], *size, *signs], ["level", "sig", "sig2", "n", "n2", "signs", "signs2"])
         yield pa.RecordBatch.from_arrays([batch.column("id"), shape], ["id", "shape"])
 
 
@@ -189,8 +189,8 @@ def score(a: str, b: str, least: int = 1) -> str:
 
 
 def may_score(a: str, b: str, threshold: int) -> str:
-    """SQL on two shapes (level, n, n2, signs, signs2) that is false only if score() stays below threshold: each edit
-    changes a length by 1 at most, and brings at most one sign that the other signature lacks."""
+    """SQL on two shapes (level, sig, sig2, n, n2, signs, signs2) that is false only if score() stays below
+    threshold: each edit changes a length by 1 at most, and brings at most one sign that the other signature lacks."""
 
     def one(i: str, j: str, same: str) -> str:
         most = f"{100 - threshold} * greatest({a}.n{i}, {b}.n{j})"
@@ -202,30 +202,34 @@ def may_score(a: str, b: str, threshold: int) -> str:
 
 def grouped(docs: DataFrame, p: Fingerprints = Fingerprints(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fingerprints() with group_id, the least id among the documents that alike fingerprints link, and links, the
-    number of such links that the search made to the document.
-
-    Equal fingerprints are linked first, then those whose score reaches the threshold and which share a run of RUN
-    signs, of which all are tried. A document like no other is its own group without links, as are those with empty
-    texts; a null id has no group. Rows that repeat an id share its group. Ids may be numbers or strings.
+    number of other documents that the row's fingerprint is like: all of them, not only those that hold the group
+    together.
+
+    Alike are equal fingerprints, and those whose score reaches the threshold and which share a run of RUN signs, of
+    which all are tried. Copies aren't made into pairs: what is linked are the distinct fingerprints, and each counts
+    with its ids. A document like no other is its own group without links, as are those with empty texts; a null id has
+    no group and is no link. Rows that repeat an id share its group; an id of several fingerprints counts for each.
+    Ids may be numbers or strings.
     """
-    kind = id_type(docs, id_col)
+    same_print = ["level", "sig", "sig2"]
     with scratch(docs.sparkSession) as keep:
         prints = keep(cut(fingerprints(docs, p, id_col, text_col).withColumnRenamed(id_col, "id")))
         signed = prints.where("id is not null and sig <> ''")
-        same = cut(signed.groupBy("level", "sig", "sig2").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
-        reps = same.select(F.col("rep").alias("id"), "level", "sig", "sig2")
-        buckets = reps.mapInArrow(_keys, f"id {kind}, keys array<long>").select(F.explode("keys").alias("key"), "id")
-        shapes = reps.mapInArrow(_shapes, f"id {kind}, shape {SHAPE}")
-        may = may_score("x", "y", p.threshold)
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            side = reps.select("id", F.struct("level", "sig", "sig2").alias("p"))
-            both = pairs.join(side.select(F.col("id").alias("a"), F.col("p").alias("x")), "a").join(side.select(F.col("id").alias("b"), F.col("p").alias("y")), "b")
-            return both.where(f"{score('x', 'y', p.threshold)} >= {p.threshold}").select("a", "b").distinct()
-
-        equal = signed.join(same.where("rep <> last"), ["level", "sig", "sig2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        edges = keep(cut(equal.unionByName(verified_edges(buckets, verify, shapes, may))))
-        roots = components(edges)
-        keep(roots)
-    out = prints.join(roots.join(links(edges), "id"), "id", "left").withColumns({"group_id": F.coalesce("root", "id"), "links": F.coalesce("links", F.lit(0))}).drop("root")
+        # written at once, so the numbers stay
+        kinds = cut(signed.groupBy(*same_print).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).withColumn("no", F.monotonically_increasing_id()))
+        numbered = kinds.select(F.col("no").alias("id"), *same_print)
+        buckets = numbered.mapInArrow(_keys, "id long, keys array<long>").select(F.explode("keys").alias("key"), "id")
+        shapes = numbered.mapInArrow(_shapes, f"id long, shape {SHAPE}")
+        pairs = mates(buckets, shapes, f"{may_score('x', 'y', p.threshold)} and {score('x', 'y', p.threshold)} >= {p.threshold}")
+        size = lambda c: kinds.select(F.col("no").alias(c), F.col("n"))
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("no"), F.col("b").alias("other")), F.struct(F.col("b").alias("no"), F.col("a").alias("other")))).alias("e")).select("e.*")
+        near = ends.join(size("other"), "other").groupBy("no").agg(F.sum("n").alias("near"))
+        linked = keep(cut(kinds.join(near, "no", "left").select(*same_print, "rep", "n", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links")).where("links > 0")))
+        name = lambda c, to: kinds.select(F.col("no").alias(c), F.col("rep").alias(to))
+        held = pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).mapInArrow(contract, "u long, v long").join(name("u", "a"), "u").join(name("v", "b"), "v").select("a", "b")
+        equal = signed.join(linked.where("n > 1"), same_print).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        roots = keep(components(cut(equal.unionByName(held))))
+    # a null id has no links
+    found = prints.join(linked.select(*[F.col(c).alias(f"_{c}") for c in same_print], "links"), F.expr("id is not null and level = _level and sig = _sig and sig2 = _sig2"), "left")
+    out = found.join(roots, "id", "left").select("id", *same_print, F.coalesce("root", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return out.withColumnRenamed("id", id_col)

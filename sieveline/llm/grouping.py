@@ -17,7 +17,7 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("_m")), "u").select("u", "v", F.least("u", "_m").alias("m"))
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each node of the partition's edges (u, v) with the least that these join it to, roots left out."""
     up: dict = {}
 
@@ -53,7 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     kind = id_type(edges, "a")
     first = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = cut(first.mapInArrow(_contract, f"u {kind}, v {kind}"))
+    now = cut(first.mapInArrow(contract, f"u {kind}, v {kind}"))
     stamp = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     state = stamp(now)
     while state[0]:
@@ -76,44 +76,71 @@ def links(edges: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
 
 
-def strangers(members: DataFrame, by: list[str], may: str = "true") -> DataFrame:
-    """(a, b): pairs of members (*by, id, root[, shape]) with equal by and different roots, a < b, each once, for which
-    may holds, SQL on their shapes x and y.
+def strangers(members: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): pairs of members (*by, id, root) with equal by and different roots, a < b, each once.
 
     In any such pair one is not of the root that most members have, so these alone are matched with all: a group of
     copies, however large, costs the number of its strangers times its size, never its square.
     """
-    shape = [c for c in ("shape",) if c in members.columns]
     counts = members.groupBy(*by, "root").agg(F.count("*").alias("n"))
     main = counts.groupBy(*by).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(*by, "main")
     mixed = members.join(main, by)
-    few = mixed.where("root <> main").select(*by, F.col("id").alias("b"), F.col("root").alias("other"), *[F.col(c).alias("y") for c in shape])
-    pairs = mixed.select(*by, F.col("id").alias("a"), "root", *[F.col(c).alias("x") for c in shape]).join(few, by).where("root <> other").where(may)
+    few = mixed.where("root <> main").select(*by, F.col("id").alias("b"), F.col("root").alias("other"))
+    pairs = mixed.select(*by, F.col("id").alias("a"), "root").join(few, by).where("root <> other")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified_edges(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], shapes: DataFrame | None = None, may: str = "true") -> DataFrame:
+def _members(buckets: DataFrame) -> DataFrame:
+    """(set, centre, id), each once, of the buckets (key, id) with more than one id; centre is the least. Buckets with
+    the same members are one set. What a bucket has is aggregated before rows move, so one that holds a third of all
+    rows is no task of its own."""
+    shared = cut(buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").drop("last"))
+    live = cut(buckets.join(shared, "key"))
+    sets = live.groupBy("key").agg(F.xxhash64(F.min("centre"), F.max("id"), F.sum(F.xxhash64("id").bitwiseAND(0xFFFFFFFFFF))).alias("set"))
+    return cut(live.join(sets, "key").select("set", "centre", "id").distinct())
+
+
+#: Members of a set that are compared with one another at once, and pairs that a task compares, about.
+BLOCK = 2000
+PAIRS = 1_000_000
+
+
+def mates(buckets: DataFrame, shapes: DataFrame, alike: str) -> DataFrame:
+    """(a, b): all pairs of bucket mates for which alike holds, SQL on their shapes x and y; a < b, each once.
+
+    buckets has (key, id), in which rows may repeat, shapes (id, shape) for each id. Unlike verified_edges() it tries
+    every pair, so that its rows can be counted. A set's members are dealt to blocks, and each two blocks are compared
+    apart, so the pairs of a large set are those of many tasks; only pairs that hold move between them.
+    """
+    with scratch(buckets.sparkSession) as keep:
+        members = _members(buckets)
+        sizes = cut(members.groupBy("set").agg(F.count("*").alias("n")))
+        pairs = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0
+        parts = max(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs / PAIRS))
+        dealt = members.join(sizes, "set").withColumn("k", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.expr("pmod(xxhash64(id), k)"))
+        cells = dealt.select("set", "id", "block", F.explode(F.expr("sequence(0L, k - 1)")).alias("j")).select("set", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"), "block", "id")
+        rows = cells.join(shapes, "id").repartition(parts, "set", "i", "j")
+        left = rows.select("set", "i", "j", F.col("id").alias("a"), F.col("block").alias("p"), F.col("shape").alias("x"))
+        right = rows.select("set", "i", "j", F.col("id").alias("b"), F.col("block").alias("q"), F.col("shape").alias("y"))
+        good = left.join(right, ["set", "i", "j"]).where("a < b and (i = j or p <> q)").where(alike)
+        return keep(cut(good.select("a", "b").distinct()))
+
+
+def verified_edges(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Enough verified pairs (a, b) of bucket mates for the components that all of them form.
 
     buckets has (key, id), in which rows may repeat; verify keeps of pairs (a, b) those alike enough. Exact without
     trying each pair: members are first compared with their bucket's least id; the pairs left are those of members
-    that this didn't join, in buckets where some comparison failed. Of these only pairs whose shapes, rows of
-    (id, shape), pass may as strangers() has it are tried: it has to hold for all that verify keeps. Buckets with the
-    same members count once. What a bucket has is aggregated before rows move, so one that holds a third of all rows
-    is no task of its own.
+    that this didn't join, in buckets where some comparison failed.
     """
     with scratch(buckets.sparkSession) as keep:
-        shared = cut(buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").drop("last"))
-        live = cut(buckets.join(shared, "key"))
-        sets = live.groupBy("key").agg(F.xxhash64(F.min("centre"), F.max("id"), F.sum(F.xxhash64("id").bitwiseAND(0xFFFFFFFFFF))).alias("set"))
-        members = cut(live.join(sets, "key").select("set", "centre", "id").distinct())
+        members = _members(buckets)
         tried = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         good = keep(cut(verify(tried)))
         label = components(good)
         failed = members.where("id <> centre").join(good.select(F.col("a").alias("centre"), F.col("b").alias("id")), ["centre", "id"], "left_anti").select("set").distinct()
-        rest = members.join(failed, "set", "left_semi").join(label, "id", "left").select("set", "id", F.coalesce("root", "id").alias("root"))
-        rest = cut(rest if shapes is None else rest.join(shapes, "id"))
-        more = keep(cut(verify(strangers(rest, ["set"], may).join(tried, ["a", "b"], "left_anti"))))
+        rest = cut(members.join(failed, "set", "left_semi").join(label, "id", "left").select("set", "id", F.coalesce("root", "id").alias("root")))
+        more = keep(cut(verify(strangers(rest, ["set"]).join(tried, ["a", "b"], "left_anti"))))
     return good.select("a", "b").unionByName(more.select("a", "b"))
 
 

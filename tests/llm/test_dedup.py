@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import ann, ctph, minhash
+from sieveline.llm import ann, ctph, grouping, minhash
 from sieveline.llm import common
 from sieveline.llm.common import shared_folder
 from sieveline.llm.grouping import components, strangers
@@ -258,6 +258,43 @@ def test_fuzzy_pairs_of_middling_score_meet(spark):
     assert all(out[i]["group_id"] == out[i + 1]["group_id"] for i in middling)
 
 
+def linked(x, y):
+    """Some run of signs in common at one level, and the best score at a common level reaches 70."""
+    signs = [[(r["level"] + k, r[c]) for k, c in ((0, "sig"), (1, "sig2")) if r[c]] for r in (x, y)]
+    run = lambda own: {(k, s[i : i + 7]) for k, s in own for i in range(max(1, len(s) - 6))}
+    score = lambda a, b: 100 if a == b else 0 if min(len(a), len(b)) < 7 else int(100 - 100 * distance(a, b) / max(len(a), len(b)))
+    return bool(run(signs[0]) & run(signs[1])) and max(score(a, b) for k, a in signs[0] for m, b in signs[1] if k == m) >= 70
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_all_links_between_fuzzy_prints_are_counted(spark, monkeypatch, block):
+    """Versions of a document that are like its first are like each other too; copies count without pairs of their own."""
+    monkeypatch.setattr(grouping, "BLOCK", block)
+    docs = corpus(16, 11)
+    rng = random.Random(12)
+    base = scattered(1)[0][1].split()
+    docs += [(500 + i, " ".join([*base[: (at := rng.randrange(len(base)))], f"v{i}", *base[at:]])) for i in range(12)]
+    docs += [(600 + i, t) for i, (_, t) in enumerate(docs[::3])]
+    docs += [(700, ""), (701, None), (702, "abc"), (703, "abc")]
+    out = ctph.grouped(spark.createDataFrame(docs, DOCS)).collect()
+    want = {a["doc_id"]: sum(linked(a, b) for b in out if b["doc_id"] != a["doc_id"]) for a in out}
+    assert {r["doc_id"]: r["links"] for r in out} == want
+    assert min(want[500 + i] for i in range(12)) > 8 and want[700] == want[701] == 0 and want[702] == want[703] == 1
+
+
+def test_mates_are_all_pairs(spark, monkeypatch):
+    """Each pair of mates once, however many buckets it shares and in whatever blocks its rows are."""
+    rng = random.Random(4)
+    rows = [(k, i) for k in range(8) for i in rng.sample(range(60), 25)]
+    rows += [(20 + k, i) for k, i in rows if k < 2] + rows[:9]
+    buckets, shapes = spark.createDataFrame(rows, "key long, id long"), spark.createDataFrame([(i, i % 7) for i in range(60)], "id long, shape int")
+    want = sorted({(i, j) for k, i in rows for m, j in rows if k == m and i < j and (i % 7 + j % 7) % 3})
+    for block in (2000, 4):
+        monkeypatch.setattr(grouping, "BLOCK", block)
+        assert sorted(map(tuple, grouping.mates(buckets, shapes, "(x + y) % 3 <> 0").collect())) == want
+    assert grouping.mates(buckets.limit(0), shapes, "true").count() == 0
+
+
 def test_fuzzy_edge_rows(spark):
     rows = [(1, "same text here"), (2, "same text here"), (None, "same text here"), (3, None), (4, ""), (2, "other words entirely"), (5, "other words entirely"), (6, "long " * 50000)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"id": F.lit(0), "level": F.lit("x"), "root": F.lit("y")})
