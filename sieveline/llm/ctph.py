@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, as_long, chunks, cut, id_type, lists, mix, powers, scratch, with_id
-from .grouping import components, contract, mates
+from .grouping import components, contract, dealt, mates
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: Bytes that decide whether a chunk ends.
@@ -200,6 +200,224 @@ def may_score(a: str, b: str, threshold: int) -> str:
     return f"({' OR '.join(_best(a, b, one))})"
 
 
+#: Signs of the longest signatures whose edits are counted in the bits of one number; longer ones are left to Spark.
+BITS = 64
+#: Pairs of which one numpy step counts the edits, and of which one holds the places.
+STEP = 8192
+GRID = 1 << 20
+
+
+class Strings:
+    """The two signatures of each row, at the places 2 * row and 2 * row + 1, ready to be compared."""
+
+    def __init__(self, first: list[str], second: list[str]) -> None:
+        text = [s for pair in zip(first, second) for s in pair]
+        place = np.zeros(256, np.uint8)
+        place[ALPHABET] = np.arange(64)
+        self.size = np.array([len(s) for s in text], np.int32)
+        self.masks = masks(text)
+        signs = place[np.frombuffer("".join(text).encode(), np.uint8)]
+        row = np.repeat(np.arange(len(text)), self.size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        #: By place in the signature and string, so a step over many strings reads one line.
+        self.signs = np.zeros((max(1, self.size.max(initial=0)), len(text)), np.int64)
+        self.signs[at, row] = signs
+        #: For each string and sign the places, as bits, where it occurs.
+        self.where = np.zeros(len(text) * 64, U)
+        np.bitwise_or.at(self.where, row * 64 + signs, U(1) << at.astype(U))
+
+    def edits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The edit distance of each two strings, neither of them empty: the columns of the usual table, as sets of the
+        places where they rise and fall, one column a step for all pairs that still have one."""
+        out = np.zeros(len(x), np.int32)
+        order = np.argsort(-self.size[y], kind="stable")
+        for lo in range(0, len(x), STEP):
+            some = order[lo : lo + STEP]
+            base, col = x[some] * 64, y[some]
+            size = self.size[col]
+            up, down = np.full(len(some), ~U(0)), np.zeros(len(some), U)
+            for j in range(int(size[0])):
+                n = int(np.searchsorted(-size, -j, "left"))  # size is falling: these have a sign at j
+                p, m = up[:n], down[:n]
+                eq = self.where[base[:n] + self.signs[j, col[:n]]]
+                eq |= m
+                d = eq & p
+                d += p
+                d ^= p
+                d |= eq
+                rise = d | p
+                np.invert(rise, out=rise)
+                rise |= m
+                fall = d & p
+                rise <<= U(1)
+                rise |= U(1)
+                np.bitwise_and(rise, d, out=m)
+                rise |= d
+                np.invert(rise, out=rise)
+                fall <<= U(1)
+                np.bitwise_or(fall, rise, out=p)
+            full = self.size[x[some]].astype(U)
+            inside = np.where(full >= U(64), ~U(0), (U(1) << (full & U(63))) - U(1))
+            out[some] = size + np.bitwise_count(up & inside).astype(np.int32) - np.bitwise_count(down & inside)
+        return out
+
+    def alike(self, x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+        """Whether the score of each two strings of one level reaches the threshold; see score() and may_score()."""
+        out = np.zeros(len(x), bool)
+        n, m = self.size[x], self.size[y]
+        most = (100 - threshold) * np.maximum(n, m)
+        k = np.flatnonzero((n > 0) & (m > 0) & (100 * np.abs(n - m) <= most))
+        for one, other in ((x, y), (y, x)):
+            lacks = sum(np.bitwise_count(self.masks[one[k], t] & ~self.masks[other[k], t]).astype(np.int32) for t in range(TIMES))
+            k = k[100 * lacks <= most[k]]
+        d = self.edits(x[k], y[k])
+        out[k] = (d == 0) | ((np.minimum(n, m)[k] >= RUN) & (100 * d <= most[k]))
+        return out
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches of rows sorted by (set, i, j), cut anew so that no cell is parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("set", "i", "j")])
+        fresh = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("set", "i", "j")):
+            fresh = np.concatenate([[0], fresh])
+        if len(fresh):
+            last = int(fresh[-1])
+            if done := [*held, *([batch.slice(0, last)] if last else [])]:
+                yield pa.Table.from_batches(done)
+            held = []
+            batch = batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tried(own: int, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """Of a cell's rows a and b, by their lists of sets, which pairs share a set less than own, so are compared there."""
+    if len(sets) == 2 and len(a) == 2:
+        return np.full((2, 2), min(set(sets[0].tolist()) & set(sets[1].tolist())) < own)
+    size = np.array([len(s) for s in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    less = flat < own
+    flat, of = flat[less], of[less]
+    if not len(flat):
+        return None
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    bounds = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1, [len(flat)]])
+    out = np.zeros((len(a), len(b)), bool)
+    at = [np.full(len(sets), -1), np.full(len(sets), -1)]
+    at[0][a], at[1][b] = np.arange(len(a)), np.arange(len(b))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if hi - lo > 1:
+            left, right = at[0][of[lo:hi]], at[1][of[lo:hi]]
+            out[left[left >= 0][:, None], right[right >= 0]] = True
+    return out
+
+
+def _candidates(table: pa.Table, level: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same cell at levels that can be compared, each pair of ids in the least set they share."""
+    own, i, j, block = (table.column(c).to_numpy() for c in ("set", "i", "j", "block"))
+    lists_ = table.column("sets").combine_chunks()
+    flat, offsets = lists_.flatten().to_numpy(), lists_.offsets.to_numpy() - lists_.offsets[0].as_py()
+    bounds = [0, *(np.flatnonzero((own[1:] != own[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(own)]
+    some: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        same = i[lo] == j[lo]
+        a = np.arange(hi - lo) if same else np.flatnonzero(block[lo:hi] == i[lo])
+        b = a if same else np.flatnonzero(block[lo:hi] == j[lo])
+        if not len(a) or not len(b) or hi - lo < 2:
+            continue
+        tried = _tried(own[lo], [flat[offsets[r] : offsets[r + 1]] for r in range(lo, hi)], a, b)
+        step = max(1, GRID // len(b))
+        for at in range(0, len(a), step):
+            ok = np.abs(level[lo + a[at : at + step], None] - level[None, lo + b]) <= 1
+            if tried is not None:
+                ok &= ~tried[at : at + step]
+            if same:
+                ok &= a[at : at + step, None] < b[None]
+            x, y = np.nonzero(ok)
+            some.append((lo + a[at + x], lo + b[y]))
+            held += len(x)
+            if held >= GRID:
+                yield tuple(map(np.concatenate, zip(*some)))
+                some, held = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*some)))
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the places below n that the pairs (a, b) join each place to."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _compare(p: Fingerprints):
+    """Rows of cells (set, i, j, block, id, level, sig, sig2, n, sets), sorted by cell, to (u, near), the n of the rows
+    that one row's fingerprint is like, and (u, v), pairs that join what is alike. Neither grows with the pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches):
+            level, count, ids = (table.column(c).to_numpy() for c in ("level", "n", "id"))
+            strings = Strings(table.column("sig").to_pylist(), table.column("sig2").to_pylist())
+            near, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for a, b in _candidates(table, level):
+                good = np.zeros(len(a), bool)
+                for x, y, apart in ((0, 0, 0), (1, 1, 0), (1, 0, 1), (0, 1, -1)):
+                    k = np.flatnonzero(~good & (level[b] - level[a] == apart))
+                    good[k] = strings.alike(2 * a[k] + x, 2 * b[k] + y, p.threshold)
+                a, b = a[good], b[good]
+                np.add.at(near, a, count[b])
+                np.add.at(near, b, count[a])
+                places = np.flatnonzero(root != np.arange(len(root)))
+                root = _joined(len(root), np.concatenate([a, places]), np.concatenate([b, root[places]]))
+            some, tied = np.flatnonzero(near), np.flatnonzero(root != np.arange(len(root)))
+            gap = lambda n: pa.nulls(n, pa.int64())
+            for u, v, w in ((ids[some], gap(len(some)), pa.array(near[some])), (ids[tied], pa.array(ids[root[tied]]), gap(len(tied)))):
+                yield pa.RecordBatch.from_arrays([pa.array(u), v, w], ["u", "v", "near"])
+
+    return run
+
+
+def _by_numpy(kinds: DataFrame, buckets: DataFrame, p: Fingerprints) -> tuple[DataFrame, DataFrame]:
+    with scratch(kinds.sparkSession) as keep:
+        members, cells, parts = dealt(buckets)
+        rows = kinds.select(F.col("no").alias("id"), "level", "sig", "sig2", "n").join(members.groupBy("id").agg(F.collect_list("set").alias("sets")), "id")
+        placed = cells.join(rows, "id").select("set", "i", "j", "block", "id", "level", "sig", "sig2", "n", "sets").repartition(parts, "set", "i", "j").sortWithinPartitions("set", "i", "j")
+        found = keep(cut(placed.mapInArrow(_compare(p), "u long, v long, near long")))
+    return found.where("v is null").groupBy(F.col("u").alias("no")).agg(F.sum("near").alias("near")), found.where("v is not null").select("u", "v")
+
+
+def _by_spark(kinds: DataFrame, buckets: DataFrame, p: Fingerprints) -> tuple[DataFrame, DataFrame]:
+    shapes = kinds.select(F.col("no").alias("id"), "level", "sig", "sig2").mapInArrow(_shapes, f"id long, shape {SHAPE}")
+    pairs = mates(buckets, shapes, f"{may_score('x', 'y', p.threshold)} and {score('x', 'y', p.threshold)} >= {p.threshold}")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("no"), F.col("b").alias("other")), F.struct(F.col("b").alias("no"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    near = ends.join(kinds.select(F.col("no").alias("other"), "n"), "other").groupBy("no").agg(F.sum("n").alias("near"))
+    return near, pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))
+
+
+def alike(kinds: DataFrame, p: Fingerprints) -> tuple[DataFrame, DataFrame]:
+    """Of distinct fingerprints (no, level, sig, sig2, n): (no, near), the sum of the n of those that each is like, and
+    pairs (u, v) that join all that are alike. All mates of a bucket are compared; signatures of up to BITS signs in
+    numpy, where no pair becomes a row."""
+    buckets = kinds.select(F.col("no").alias("id"), "level", "sig", "sig2").mapInArrow(_keys, "id long, keys array<long>").select(F.explode("keys").alias("key"), "id")
+    return (_by_numpy if p.chunks <= BITS else _by_spark)(kinds, buckets, p)
+
+
 def grouped(docs: DataFrame, p: Fingerprints = Fingerprints(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fingerprints() with group_id, the least id among the documents that alike fingerprints link, and links, the
     number of other documents that the row's fingerprint is like: all of them, not only those that hold the group
@@ -217,16 +435,10 @@ def grouped(docs: DataFrame, p: Fingerprints = Fingerprints(), id_col: str = "do
         signed = prints.where("id is not null and sig <> ''")
         # written at once, so the numbers stay
         kinds = cut(signed.groupBy(*same_print).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).withColumn("no", F.monotonically_increasing_id()))
-        numbered = kinds.select(F.col("no").alias("id"), *same_print)
-        buckets = numbered.mapInArrow(_keys, "id long, keys array<long>").select(F.explode("keys").alias("key"), "id")
-        shapes = numbered.mapInArrow(_shapes, f"id long, shape {SHAPE}")
-        pairs = mates(buckets, shapes, f"{may_score('x', 'y', p.threshold)} and {score('x', 'y', p.threshold)} >= {p.threshold}")
-        size = lambda c: kinds.select(F.col("no").alias(c), F.col("n"))
-        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("no"), F.col("b").alias("other")), F.struct(F.col("b").alias("no"), F.col("a").alias("other")))).alias("e")).select("e.*")
-        near = ends.join(size("other"), "other").groupBy("no").agg(F.sum("n").alias("near"))
+        near, joined = alike(kinds, p)
         linked = keep(cut(kinds.join(near, "no", "left").select(*same_print, "rep", "n", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links")).where("links > 0")))
         name = lambda c, to: kinds.select(F.col("no").alias(c), F.col("rep").alias(to))
-        held = pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).mapInArrow(contract, "u long, v long").join(name("u", "a"), "u").join(name("v", "b"), "v").select("a", "b")
+        held = joined.mapInArrow(contract, "u long, v long").join(name("u", "a"), "u").join(name("v", "b"), "v").select("a", "b")
         equal = signed.join(linked.where("n > 1"), same_print).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
         roots = keep(components(cut(equal.unionByName(held))))
     # a null id has no links

@@ -105,20 +105,30 @@ BLOCK = 2000
 PAIRS = 1_000_000
 
 
+def dealt(buckets: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The members (set, centre, id) of the buckets (key, id); their cells (set, i, j, block, id); partitions for these.
+
+    A set's members are dealt to blocks, and each two blocks are a cell, so the pairs of a large set are those of many
+    tasks. A cell (i, i) holds the pairs within a block, a cell (i, j) those of one member in each. Call it within a
+    scratch().
+    """
+    members = _members(buckets)
+    sizes = cut(members.groupBy("set").agg(F.count("*").alias("n")))
+    pairs = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0
+    parts = max(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs / PAIRS))
+    blocks = members.join(sizes, "set").withColumn("k", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.expr("pmod(xxhash64(id), k)"))
+    cells = blocks.select("set", "id", "block", F.explode(F.expr("sequence(0L, k - 1)")).alias("j")).select("set", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"), "block", "id")
+    return members, cells, parts
+
+
 def mates(buckets: DataFrame, shapes: DataFrame, alike: str) -> DataFrame:
     """(a, b): all pairs of bucket mates for which alike holds, SQL on their shapes x and y; a < b, each once.
 
     buckets has (key, id), in which rows may repeat, shapes (id, shape) for each id. Unlike verified_edges() it tries
-    every pair, so that its rows can be counted. A set's members are dealt to blocks, and each two blocks are compared
-    apart, so the pairs of a large set are those of many tasks; only pairs that hold move between them.
+    every pair, so that its rows can be counted; only pairs that hold move between tasks.
     """
     with scratch(buckets.sparkSession) as keep:
-        members = _members(buckets)
-        sizes = cut(members.groupBy("set").agg(F.count("*").alias("n")))
-        pairs = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0
-        parts = max(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs / PAIRS))
-        dealt = members.join(sizes, "set").withColumn("k", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.expr("pmod(xxhash64(id), k)"))
-        cells = dealt.select("set", "id", "block", F.explode(F.expr("sequence(0L, k - 1)")).alias("j")).select("set", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"), "block", "id")
+        _, cells, parts = dealt(buckets)
         rows = cells.join(shapes, "id").repartition(parts, "set", "i", "j")
         left = rows.select("set", "i", "j", F.col("id").alias("a"), F.col("block").alias("p"), F.col("shape").alias("x"))
         right = rows.select("set", "i", "j", F.col("id").alias("b"), F.col("block").alias("q"), F.col("shape").alias("y"))

@@ -403,3 +403,52 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, above = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distances_of_whole_arrays():
+    """Signatures of 1 to 64 signs, few different ones among them, in more pairs than a step has."""
+    rng = random.Random(4)
+    first = ["".join(rng.choices("AB+/"[: rng.choice([2, 4])], k=rng.choice([1, 2, 7, 31, 63, 64]))) for _ in range(60)]
+    second = ["".join(x if rng.random() > 0.1 else rng.choice(["", "B", x + "A"]) for x in s)[:64] or "A" for s in first]
+    strings, text = ctph.Strings(first, second), [s for pair in zip(first, second) for s in pair]
+    x, y = (np.array(z) for z in zip(*[(i, j) for i in range(len(text)) for j in range(len(text))]))
+    assert len(x) > ctph.STEP
+    got = strings.edits(x, y)
+    for k in rng.sample(range(len(x)), 1500):
+        assert got[k] == edits(text[x[k]], text[y[k]])
+
+
+def test_likeness_in_numpy_is_that_in_spark(spark, monkeypatch):
+    """The same sums and groups in whatever blocks and batches, though pairs share many buckets; and no pair is a row."""
+    rng = random.Random(5)
+    parts = [[f"w{rng.randrange(4000)}" for _ in range(300)] for _ in range(6)]
+    docs = [(i, " ".join(w if rng.random() > 0.02 else "new" for w in parts[i % 6])) for i in range(160)]
+    p = ctph.Fingerprints()
+    prints = ctph.fingerprints(spark.createDataFrame(docs, DOCS)).where("sig <> ''")
+    kinds = prints.groupBy("level", "sig", "sig2").agg(F.min("doc_id").alias("no"), F.count("*").alias("n")).localCheckpoint()
+    buckets = kinds.select(F.col("no").alias("id"), "level", "sig", "sig2").mapInArrow(ctph._keys, "id long, keys array<long>").select(F.explode("keys").alias("key"), "id").localCheckpoint()
+
+    def found(how):
+        near, joined = how(kinds, buckets, p)
+        roots = {r["id"]: r["root"] for r in grouping.components(joined.select(F.col("u").alias("a"), F.col("v").alias("b"))).collect()}
+        return {r["no"]: r["near"] for r in near.collect()}, roots, joined.count()
+
+    want = found(ctph._by_spark)
+    assert len(want[1]) > 20 and want[2] > 2 * len(want[1])
+    for block, batch in ((2000, "1000"), (7, "5")):
+        monkeypatch.setattr(grouping, "BLOCK", block)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = found(ctph._by_numpy)
+        assert got[:2] == want[:2]
+        if block == 2000:
+            assert got[2] < want[2]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
