@@ -87,19 +87,54 @@ def bm25_topk(posting: DataFrame, stats: DataFrame, queries: DataFrame, k: int |
     return _best(bm25_scores(posting, stats, queries), k)
 
 
+#: A side is broadcast only when its rows, counted first, fit in this many bytes, at about so many a row.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 100
+#: Scores that a task adds up, about.
+CELLS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df
+
+
+def _straight(keep: Callable[[DataFrame], DataFrame], docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, segment: Segment) -> DataFrame:
+    """Scores whose rows, until they are added up, never leave the task that has their document. What a query term has
+    in a document is kept with the document, one row each; of all others only counts move."""
+    spark = docs.sparkSession
+    asked = cut(query_terms(queries, "qid", "query", segment))
+    # in the order of the terms, so sums are always added in this order; -1 stands once in each document
+    numbers = cut(asked.select("term").distinct().sort("term").withColumn("no", F.monotonically_increasing_id()))
+    wanted = _small(cut(numbers.unionByName(spark.createDataFrame([("", -1)], "term string, no long"))))
+    each = doc_terms(docs, id_col, text_col, segment)
+    found = each.select("doc_id", "dl", F.explode(F.array_append("terms", F.lit(""))).alias("term")).join(wanted, "term").select("doc_id", "dl", "no")
+    counted = found.repartition("doc_id").groupBy("doc_id", "dl", "no").agg(F.count("*").alias("tf"))
+    times, term = F.max(F.when(F.col("no") < 0, F.col("tf"))).alias("times"), F.when(F.col("no") >= 0, F.struct("no", "tf"))
+    held = keep(cut(counted.groupBy("doc_id", "dl").agg(times, F.array_sort(F.collect_list(term)).alias("held"))))
+    n, avgdl = held.agg(F.coalesce(F.sum("times"), F.lit(0)), (F.sum(F.col("dl") * F.col("times")) / F.sum("times"))).first()
+    terms_ = F.explode("held").alias("h")
+    df = held.select(terms_).groupBy(F.col("h.no").alias("no")).agg(F.count("*").alias("df"))
+    idf = F.greatest(F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    weights = keep(cut(asked.join(numbers, "term").join(df, "no").select("no", "qid", (idf * F.col("qtf")).alias("idf"))))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * asked.select("qid").distinct().count() / CELLS))
+    rows = held.repartition(parts, "doc_id").select("doc_id", "dl", terms_).select("doc_id", "dl", "h.no", "h.tf").join(_small(weights), "no")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl).cast("double")))
+    return rows.groupBy("qid", "doc_id").agg((-F.sum(part)).alias("bm25_score"))
+
+
+def document_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: Segment = terms) -> DataFrame:
+    """bm25_scores() straight from documents, which are read once, at once; the scores themselves are added up when
+    they are read."""
+    with scratch(docs.sparkSession) as keep:
+        return _straight(keep, docs, queries, id_col, text_col, segment)
+
+
 def bm25_documents(docs: DataFrame, queries: DataFrame, k: int | None = SOURCE_TOP_K, id_col: str = "doc_id", text_col: str = "text", segment: Segment = terms) -> DataFrame:
-    """bm25_topk() straight from documents, which are read once: the postings of the terms that some query has go to
-    the shared folder, and one more for each document, of the term '', which carries its length for the totals. Runs
-    at once; only the best k stay in the folder. For many calls keep an Index instead."""
+    """bm25_topk() straight from documents, which are read once: what query terms each has goes to the shared folder,
+    with its length for the totals. Runs at once; only the best k stay in the folder. For many calls keep an Index
+    instead."""
     positive("k", k)
-    asked = query_terms(queries, "qid", "query", segment)
-    wanted = asked.select("term").unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
     with scratch(docs.sparkSession) as keep:
-        each = doc_terms(docs, id_col, text_col, segment)
-        found = each.select("doc_id", "dl", F.explode(F.array_append("terms", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
-        held = cut(found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")))
-        totals = held.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-        return keep(cut(_best(_scores(held.where("term <> ''"), totals, asked), k)))
+        return keep(cut(_best(_straight(lambda df: df, docs, queries, id_col, text_col, segment), k)))
 
 
 def _checked(df: DataFrame, key: str, dim: int, name: str) -> DataFrame:

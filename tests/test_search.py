@@ -108,6 +108,34 @@ def test_documents_are_read_once(spark, tmp_path):
     assert search.bm25_documents(docs.limit(0), queries).count() == 0 and search.bm25_documents(docs, queries.limit(0)).count() == 0
 
 
+def test_scores_are_added_up_where_the_document_is(spark):
+    """Of queries times documents nothing moves between tasks, and each sum is added in one order, however rows come."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=rng.randint(0, 60)))) for i in range(300)] + [(7, "a b"), (7, "a b c"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(rng.choices("abcdefghijk", k=9))) for q in range(12)] + [(20, "k"), (21, None)], "qid long, query string")
+    got = search.document_scores(docs.repartition(7), queries)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "hashpartitioning(doc_id" in plan and "hashpartitioning(qid" not in plan
+    scores = {(r["qid"], r["doc_id"]): r["bm25_score"] for r in got.collect()}
+    assert scores == {(r["qid"], r["doc_id"]): r["bm25_score"] for r in search.document_scores(docs.repartition(3, "text"), queries).collect()}
+    assert len(scores) > 3000 and {q for q, _ in scores} == set(range(12))
+    unique = docs.where("doc_id not in (7, 8)")
+    want = {(r["qid"], r["doc_id"]): r["bm25_score"] for r in search.bm25_scores(search.postings(unique), search.doc_terms(unique), queries).collect()}
+    alone = {(r["qid"], r["doc_id"]): r["bm25_score"] for r in search.document_scores(unique, queries).collect()}
+    assert want.keys() == alone.keys() and all(abs(want[k] - alone[k]) < 1e-9 for k in want)
+
+
+def test_scores_with_terms_too_many_to_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "cat cat dog"), (2, "dog"), (3, "bird fish")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "cat CAT"), (2, "dog bird")], "qid long, query string")
+    found = lambda: sorted(map(tuple, search.document_scores(docs, queries).collect()))
+    want = found()
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(search, "CELLS", 1)
+    assert found() == want and len(want) == 4
+
+
 def test_hybrid_needs_a_query_and_keeps_per_source_columns(spark):
     docs = spark.createDataFrame([(1, "alpha"), (2, "beta")], "doc_id long, text string")
     vecs = spark.createDataFrame([(1, [1.0]), (2, [0.0])], "doc_id long, embedding array<float>")
