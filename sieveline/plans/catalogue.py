@@ -111,7 +111,7 @@ def doc_term_stats(t: Tables) -> DataFrame:
 
 @query("bm25_scores", f"WITH {BM25} SELECT qid, doc_id, round(bm25_score, 6) AS bm25_score FROM bs")
 def bm25_scores(t: Tables) -> DataFrame:
-    return search.bm25_scores(search.postings(t.documents), search.doc_terms(t.documents), _queries(t)).select("qid", "doc_id", _r("bm25_score"))
+    return search.document_scores(t.documents, _queries(t)).select("qid", "doc_id", _r("bm25_score"))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT qid, doc_id, round(bm25_score, 6) AS bm25_score, bm25_rank FROM bm WHERE bm25_rank <= 10")
