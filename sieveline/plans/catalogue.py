@@ -430,7 +430,8 @@ def eval_hit_rank(t: Tables) -> DataFrame:
 
 @query("eval_hit_rate_mrr", f"WITH {EVAL} SELECT count(*) AS total, count(hit_rank) AS hits, round(coalesce(count(hit_rank) / count(*)::DOUBLE, 0), 6) AS hit_rate, round(coalesce(avg(coalesce(1.0 / hit_rank, 0)), 0), 6) AS mrr FROM hr")
 def eval_hit_rate_mrr(t: Tables) -> DataFrame:
-    out = metrics.summary(metrics.per_query(*[_evaluation(t)[i] for i in (0, 2, 1)]))
+    queries, expected, results = _evaluation(t)
+    out = metrics.summary(metrics.per_query(queries, results, expected))
     return out.select("total", F.col("hits").cast("long").alias("hits"), _r("hit_rate"), _r("mrr"))
 
 

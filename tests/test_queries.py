@@ -69,3 +69,15 @@ def test_entry_without_the_training_data_queries(spark, tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert int(out.stdout) == len(catalogue.queries())
+
+
+def test_an_evaluation_searches_once(spark, monkeypatch):
+    calls, real = [], catalogue.search.bm25_documents
+    monkeypatch.setattr(catalogue.search, "bm25_documents", lambda *a, **k: calls.append(a) or real(*a, **k))
+    catalogue.queries()["eval_hit_rate_mrr"](spark, DATA)
+    assert len(calls) == 1
+
+
+def test_scores_of_documents_do_not_move(spark):
+    plan = catalogue.queries()["bm25_scores"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" not in plan and "hashpartitioning(term" not in plan
