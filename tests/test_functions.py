@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -25,6 +26,18 @@ def test_fence_token_equals_its_python_counterpart(spark):
     assert int(text.fence_token_py("foobar"), 36) == 0xBF9CF968
 
 
+def test_fence_tokens_of_whole_arrays(monkeypatch):
+    """Units of 1 to 16 bits, astral and lone surrogates, texts of several pieces, empty ones and nulls among them."""
+    rng = random.Random(3)
+    ranges = [(0, 2), (0, 128), (0, 256), (0x2000, 0xE000), (0x10000, 0x110000)]
+    texts = ["", None, "\0", "\ud800", *["".join(chr(rng.randrange(*rng.choice(ranges[: rng.randint(1, 5)]))) for _ in range(rng.randrange(90))) for _ in range(200)], None, ""]
+    want = [None if t is None else text.fence_token_py(t) for t in texts]
+    for units in (1 << 16, 100, 7, 1):
+        monkeypatch.setattr(text, "FENCE_UNITS", units)
+        assert text.fence_tokens_py(texts) == want
+    assert text.fence_tokens_py([]) == [] and text.fence_tokens_py([None]) == [None]
+
+
 def test_untrusted_block(spark):
     assert column(spark, ["hi"], lambda c: text.untrusted_block(F.lit("p"), c)) == [text.untrusted_block_py("p", "hi")]
 
