@@ -6,10 +6,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, discard, release, scratch, shared_folder  # noqa: F401
+from ..sources.shared import cut, discard, light_batches, release, scratch, shared_folder  # noqa: F401
 
 #: A side is broadcast only when its rows, counted first, fit in this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -17,17 +17,6 @@ BROADCAST_BYTES = 32 << 20
 CHUNK_BYTES = 1 << 19
 
 
-#: Rows that Spark hands to Python at once, where the session has its default; documents are large rows.
-BATCH_ROWS = 1000
-
-
-def light_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches than Spark's default, so that a worker holds a few MB of text, not tens of them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted rows fit in BROADCAST_BYTES, else df for Spark to shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..sources.caption_cache import CaptionCache, sha256_hex
+from ..sources.shared import light_batches
 from .chunking import caption_pages, stitched
 from .metrics import first_wins
 from .providers import Embed, Vision, backoff_ms, is_retryable, strip
@@ -58,6 +59,7 @@ def embedded(df: DataFrame, load: Callable[[], Embed], text_col: str = "content"
     with a number that isn't finite, is an error."""
     if isinstance(batch, bool) or not isinstance(batch, int) or not 1 <= batch <= 256:
         raise ValueError("batch must be a whole number from 1 to 256")
+    light_batches(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -88,6 +90,7 @@ def contextualised(chunks: DataFrame, docs: DataFrame, model: Callable[[str, str
     the document. An answer that is no text is an error."""
     if not 10 <= least <= most <= 500:
         raise ValueError("10 <= least <= most <= 500 must hold")
+    light_batches(chunks.sparkSession)
 
     @F.pandas_udf("string")
     def ask(parts: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
@@ -156,6 +159,7 @@ def captioned(images: DataFrame, vision: Vision, o: CaptionOptions, cache: Capti
     key = {"image_sha256": F.sha2("image", 256), "prompt_sha256": F.lit(sha256_hex(o.prompt)), "provider_id": F.lit(o.provider_id), "model_id": F.lit(o.model_id)}
     work = images.withColumns(key)
     names = list(key)
+    light_batches(images.sparkSession)
     distinct = first_wins(work, names, list(order)).select(*names, "image")
     todo = cache.misses(distinct) if cache else distinct
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import is_blank, terms
-from ..sources.shared import cut, scratch
+from ..sources.shared import cut, light_batches, scratch
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SOURCE_TOP_K, TOP_K, RRF_K, RERANK_TOP_K = 30, 10, 60, 5
@@ -284,6 +284,7 @@ def model_logits(hits: DataFrame, scorer: Callable[[list[tuple[str, str]]], list
     positive("batch", batch, 64)
     if not 16 <= max_length <= 512:
         raise ValueError("max_length must be from 16 to 512")
+    light_batches(hits.sparkSession)
 
     @F.pandas_udf("double")
     def logits(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

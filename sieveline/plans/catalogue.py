@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, vectors
 from ..operators import chunking, enrich, evaluation, guard, metrics, rewrite, search
-from ..sources.shared import cut
+from ..sources.shared import cut, light_batches
 
 DIM = 64
 
@@ -359,6 +359,7 @@ def sanitize_text(t: Tables) -> DataFrame:
 
 @query("fence_tokens", f"SELECT doc_id, {BASE36.format(FNV.format('text'))} AS token FROM documents")
 def fence_tokens(t: Tables) -> DataFrame:
+    light_batches(t.spark)
     return t.documents.select("doc_id", text.fence_token("text").alias("token"))
 
 

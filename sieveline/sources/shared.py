@@ -1,4 +1,5 @@
-"""Tables in the folder that all executors share: where lineage is cut, and how such tables are deleted again."""
+"""Tables in the folder that all executors share: where lineage is cut, and how such tables are deleted again; how many
+rows Python gets at once."""
 
 from __future__ import annotations
 
@@ -76,3 +77,14 @@ def release(spark: SparkSession, *but: DataFrame) -> None:
     for held in _written:
         _delete(spark, [p for p in held if p not in kept])
         held[:] = [p for p in held if p in kept]
+
+
+#: Rows and bytes that Spark hands to Python at once, where the session has its default; documents are large rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default, so that a worker holds a few MB of text, not tens of them."""
+    for name, (default, less) in BATCH.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, less)

@@ -315,3 +315,25 @@ def test_streaming_ingest(spark, tmp_path):
     stream = spark.readStream.schema("source string, text string").parquet(str(tmp_path / "in"))
     ingest(stream, index, enrich.hashing_embedder, str(tmp_path / "cp")).awaitTermination()
     assert [(r["source"], r["section"], r["content"]) for r in Index.open(spark, str(tmp_path / "ix")).table("docs").collect()] == [("a", "T", "body")]
+
+
+def test_python_gets_few_large_rows_at_once(spark):
+    """What hands documents to Python asks for smaller batches, unless the session has set its own."""
+    from sieveline.sources import shared
+
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    ask = lambda: enrich.contextualised(docs.withColumnRenamed("text", "content"), docs, lambda system, user, key: "x")
+    before = {name: spark.conf.get(name) for name in shared.BATCH}
+    try:
+        for name in shared.BATCH:
+            spark.conf.unset(name)
+        assert [spark.conf.get(n) for n in shared.BATCH] == [old for old, _ in shared.BATCH.values()]
+        assert ask().count() == 3
+        assert [spark.conf.get(n) for n in shared.BATCH] == [new for _, new in shared.BATCH.values()]
+        for name in shared.BATCH:
+            spark.conf.set(name, "77")
+        ask()
+        assert [spark.conf.get(n).rstrip("b") for n in shared.BATCH] == ["77", "77"]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
